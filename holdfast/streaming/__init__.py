@@ -1,0 +1 @@
+"""Incremental runs of the daily batch."""
