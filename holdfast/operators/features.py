@@ -32,6 +32,12 @@ def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, labels): distinct values of each column."""
+    tall = df.unpivot([], list(columns), "column", "label").distinct()
+    return tall.groupBy("column").agg(F.count("label").alias("labels"))
+
+
 def category_indexer(columns: Sequence[str]) -> Estimator:
     """One indexer for all columns, fitted in one pass; null and unseen share an extra index."""
     return StringIndexer(

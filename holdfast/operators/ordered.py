@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import nan_to_null
@@ -135,14 +135,16 @@ def chunk_quantiles(
             side("high").alias("high"),
             F.max("hit.weight").alias("weight"),
         )
-        .select(
-            *by,
-            "p",
-            (F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")).alias(VALUE),
-        )
+        .select(*by, "p", _between(F.col("low"), F.col("high"), F.col("weight")).alias(VALUE))
     )
 
 
+def _between(low: Column, high: Column, weight: Column) -> Column:
+    """Linear interpolation, reckoned from the nearer end so that both ends are met exactly."""
+    gap = high - low
+    return F.when(weight < 0.5, low + gap * weight).otherwise(high - gap * (1 - weight))
+
+
 def exact_quantiles(
     df: DataFrame,
     column: str,

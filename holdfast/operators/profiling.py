@@ -30,18 +30,6 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def schema_listing(df: DataFrame) -> DataFrame:
-    """(ordinal, name, type) of every column."""
-    fields = F.array(
-        *(
-            F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"))
-            for f in df.schema.fields
-        )
-    )
-    listing = df.sparkSession.range(1).select(F.posexplode(fields).alias("ordinal", "f"))
-    return listing.select("ordinal", "f.name", "f.type")
-
-
 def _is_missing(field: T.StructField) -> Column:
     c = F.col(field.name)
     floating = isinstance(field.dataType, (T.DoubleType, T.FloatType))
@@ -64,6 +52,28 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return missing_wide(df).unpivot([], list(df.columns), "column", "missing")
 
 
+def schema_listing(df: DataFrame) -> DataFrame:
+    """(ordinal, name, type, known) for every column, with the number of known values."""
+    facts = F.create_map(
+        *(
+            part
+            for i, f in enumerate(df.schema.fields)
+            for part in (
+                F.lit(f.name),
+                F.struct(
+                    F.lit(i).alias("ordinal"), F.lit(f.dataType.simpleString()).alias("type")
+                ),
+            )
+        )
+    )
+    known = df.agg(*(F.count_if(~_is_missing(f)).alias(f.name) for f in df.schema.fields))
+    return (
+        known.unpivot([], list(df.columns), "name", "known")
+        .withColumn("fact", facts[F.col("name")])
+        .select("fact.ordinal", "name", "fact.type", "known")
+    )
+
+
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, count, unique, top, freq); the smallest of equally frequent values is on top."""
     counts = (

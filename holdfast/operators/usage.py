@@ -14,7 +14,7 @@ from holdfast.schema import KEY
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 # Words that mark a complaint text.
-COMPLAINT_WORDS = ["error", "bad", "worthless", "hate", "slow", "broken", "this", "the"]
+COMPLAINT_WORDS = ["awful", "broken", "idiot", "problem", "slow", "stupid", "worthless"]
 
 
 def billing_by_customer(orders: DataFrame) -> DataFrame:
@@ -102,16 +102,18 @@ def billing_cycles(orders: DataFrame, cycle_day: int = 1) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"), money_sum(F.col("o_totalprice")).alias("amount"))
     # One row per customer and calendar month reaches the window, however many bills there are.
     following = F.lead("start").over(Window.partitionBy("o_custkey").orderBy("start"))
-    until = F.coalesce(F.add_months(following, -1), F.col("start"))
+    until = F.coalesce(F.add_months(F.col("following"), -1), F.col("start"))
     months = F.sequence(F.col("start"), until, F.expr("interval 1 month"))
     real = F.col("month") == F.col("start")
-    return billed.select(
-        "o_custkey", "start", "n", "amount", F.explode(months).alias("month")
-    ).select(
-        "o_custkey",
-        "month",
-        F.when(real, F.col("n")).otherwise(0).alias("n_orders"),
-        F.when(real, F.col("amount")).otherwise(0.0).alias("billed"),
+    return (
+        billed.withColumn("following", following)
+        .withColumn("month", F.explode(months))
+        .select(
+            "o_custkey",
+            "month",
+            F.when(real, F.col("n")).otherwise(0).alias("n_orders"),
+            F.when(real, F.col("amount")).otherwise(0.0).alias("billed"),
+        )
     )
 
 

@@ -310,10 +310,8 @@ def tenure_charges_sample(spark, sf_dir):
 
 @report
 def categorical_columns(spark, sf_dir):
-    names = text_columns(cleaned(spark, sf_dir).schema)
-    return spark.range(1).select(
-        F.posexplode(F.array(*(F.lit(n) for n in names))).alias("ordinal", "column")
-    )
+    rows = cleaned(spark, sf_dir)
+    return features.label_counts(rows, text_columns(rows.schema))
 
 
 @report

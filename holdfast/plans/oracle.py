@@ -143,10 +143,23 @@ def _numeric_profile(c: str, source: str, digits: int, text: bool = True) -> str
 
     blank = 'NULL::BIGINT AS "unique", NULL::VARCHAR AS top, NULL::BIGINT AS freq,' if text else ""
     x = f'"{c}"::DOUBLE'
+
+    def quartile(p: float) -> str:
+        # quantile_cont weighs both neighbours, which can miss a half by one bit;
+        # the reports start from the nearer neighbour, as pandas does.
+        at = f"((count({x}) - 1) * {p})"
+        low = f"list_sort(list({x}))[floor({at})::BIGINT + 1]"
+        high = f"list_sort(list({x}))[ceil({at})::BIGINT + 1]"
+        part = f"({at} - floor({at}))::DOUBLE"
+        return r(
+            f"CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part}"
+            f" ELSE {high} - ({high} - {low}) * (1 - {part}) END"
+        )
+
     return f"""SELECT '{c}' AS "column", count({x}) AS "count", {blank}
       {r(f"avg({x})")} AS mean, {r(f"stddev_samp({x})")} AS std, {r(f"min({x})")} AS "min",
-      {r(f"quantile_cont({x}, 0.25)")} AS q25, {r(f"quantile_cont({x}, 0.5)")} AS q50,
-      {r(f"quantile_cont({x}, 0.75)")} AS q75, {r(f"max({x})")} AS "max" FROM {source}"""
+      {quartile(0.25)} AS q25, {quartile(0.5)} AS q50, {quartile(0.75)} AS q75,
+      {r(f"max({x})")} AS "max" FROM {source}"""
 
 
 def _counts_by(category: str) -> str:
@@ -177,6 +190,11 @@ def _box(source: str, group: str, column: str, digits: int) -> str:
     )
 
 
+def _type(column: str) -> str:
+    kind = SUBSCRIBER[column].dataType.simpleString()
+    return "double" if column == "TotalCharges" else kind
+
+
 def _head(n: int = 5) -> str:
     first = f"""head AS (SELECT *, row_number() OVER (ORDER BY "customerID") AS rn
              FROM subscribers QUALIFY rn <= {n})"""
@@ -206,6 +224,13 @@ ORACLE: dict[str, str] = {
     "table_shape": sql(
         f"SELECT count(*) AS n_rows, {len(ALL_COLUMNS)}::INTEGER AS n_columns FROM subscribers"
     ),
+    "schema_listing": sql(
+        " UNION ALL ".join(
+            f"""SELECT {i}::INTEGER AS ordinal, '{c}' AS name, '{_type(c)}' AS type,
+            count("{c}") AS known FROM cleaned"""
+            for i, c in enumerate(ALL_COLUMNS)
+        )
+    ),
     "profile_all": sql(
         " UNION ALL ".join(
             [_text_profile(c) for c in TEXT]
@@ -323,6 +348,12 @@ ORACLE: dict[str, str] = {
     "tenure_charges_sample": sql(
         f"""{POINTS} WHERE {uniform('"customerID"', "points")} < 0.1::DOUBLE"""
     ),
+    "categorical_columns": sql(
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", count(DISTINCT "{c}") AS labels FROM cleaned"""
+            for c in INDEXED
+        )
+    ),
     "category_labels": sql("SELECT * FROM labels_of", _labels("cleaned", INDEXED)),
     "category_index": sql(
         f"""SELECT "customerID", {", ".join(f'{_index(c)} AS "{c}_index"' for c in INDEXED)}
@@ -390,17 +421,17 @@ ORACLE: dict[str, str] = {
                coalesce(amount, 0)::DOUBLE AS billed
         FROM months LEFT JOIN bills USING (o_custkey, month)""",
     "look_ahead_labels": """
-        WITH cut AS (SELECT max(o_orderdate) - INTERVAL 30 DAY AS at FROM orders),
+        WITH cut AS (SELECT max(o_orderdate) - INTERVAL 30 DAY AS moment FROM orders),
         past AS (
           SELECT o_custkey, count(*) AS n_orders,
                  sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS billed,
                  max(o_orderdate)::DATE AS last_order
-          FROM orders WHERE o_orderdate <= (SELECT at FROM cut) GROUP BY o_custkey),
+          FROM orders WHERE o_orderdate <= (SELECT moment FROM cut) GROUP BY o_custkey),
         ahead AS (
           SELECT DISTINCT o_custkey FROM orders, cut
-          WHERE o_orderdate > at AND o_orderdate <= at + INTERVAL 30 DAY)
+          WHERE o_orderdate > moment AND o_orderdate <= moment + INTERVAL 30 DAY)
         SELECT o_custkey, n_orders, billed,
-               date_diff('day', last_order, (SELECT at::DATE FROM cut))::INTEGER
+               date_diff('day', last_order, (SELECT moment::DATE FROM cut))::INTEGER
                  AS days_since_order,
                CASE WHEN o_custkey IN (SELECT o_custkey FROM ahead) THEN 0 ELSE 1 END AS label
         FROM past""",
