@@ -6,12 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_uniform(key: Column, salt: str) -> Column:
-    """A double in [0, 1) from the first 32 bits of md5(salt:key)."""
-    digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def uniform_sql(key: str, salt: str) -> str:
+    """A double in [0, 1) from the first 32 bits of md5(salt:key), as SQL text."""
+    return (
+        f"(cast(conv(substr(md5(concat('{salt}:', {key})), 1, 8), 16, 10) as double)"
+        " / 4294967296D)"
+    )
 
 
-def hash_between(key: Column, salt: str, low: float, high: float) -> Column:
-    """A double in [low, high)."""
-    return F.lit(low) + F.lit(round(high - low, 12)) * hash_uniform(key, salt)
+def hash_uniform(key: str, salt: str) -> Column:
+    """A double in [0, 1) for the value of column `key`."""
+    return F.expr(uniform_sql(f"cast(`{key}` as string)", salt))
+
+
+def hash_between(key: str, salt: str, low: float, high: float) -> Column:
+    """A double in [low, high) for the value of column `key`."""
+    draw = uniform_sql(f"cast(`{key}` as string)", salt)
+    return F.expr(f"{low}D + {round(high - low, 12)}D * {draw}")

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 # digit groups ("1,000") do not.
 NUMBER = r"^[ \t\r\n]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\r\n]*$"
 
-MONEY = "decimal(18,2)"
-
-
 def nan_to_null(c: Column) -> Column:
     """NaN sorts above every number in Spark, so it must go before any comparison."""
     return F.nullif(c, F.lit(float("nan")))
@@ -32,9 +29,14 @@ def fill(c: Column, value: Column) -> Column:
     return F.coalesce(nan_to_null(c), value)
 
 
+def cents(c: Column) -> Column:
+    """An amount of money as a whole number of cents."""
+    return F.rint(c * 100).cast("bigint")
+
+
 def money_sum(c: Column) -> Column:
-    """Sum of whole-cent amounts, exact and the same for every partitioning."""
-    return F.sum(c.cast(MONEY)).cast("double")
+    """Sum of whole-cent amounts, added as integers: exact, and the same for every partitioning."""
+    return F.sum(cents(c)) / F.lit(100.0)
 
 
 def money_text(c: Column) -> Column:

@@ -11,8 +11,6 @@ from holdfast.operators.ordered import (
     CHUNK,
     ROWS,
     VALUE,
-    chunk_quantiles,
-    chunk_sizes,
     quantiles_wide,
     value_chunks,
 )
@@ -109,20 +107,16 @@ def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """
     rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("grp"), column)
     chunks = value_chunks(rows, column, ["grp"])
-    box = quantiles_wide(
-        chunk_quantiles(chunks, [0.25, 0.5, 0.75], ["grp"]),
-        {0.25: "q1", 0.5: "median", 0.75: "q3"},
-        ["grp"],
-    )
+    box = quantiles_wide(chunks, {0.25: "q1", 0.5: "median", 0.75: "q3"})
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fences = box.withColumns(
         {"fence_lo": F.col("q1") - reach, "fence_hi": F.col("q3") + reach}
     )
     # Along (grp, chunk), so that a group with most of the rows is many tasks.
-    per_chunk = chunk_sizes(chunks, ["grp"]).select("grp", CHUNK).join(fences, "grp")
+    per_chunk = chunks.sizes().select("grp", CHUNK).join(fences, "grp")
     within = F.col(VALUE).between(F.col("fence_lo"), F.col("fence_hi"))
     return (
-        chunks.join(per_chunk, ["grp", CHUNK])
+        chunks.join(per_chunk)
         .groupBy("grp", "q1", "median", "q3")
         .agg(
             F.min(F.when(within, F.col(VALUE))).alias("lo"),
@@ -162,7 +156,7 @@ def scatter_points(
 ) -> DataFrame:
     """The points of a scatter chart; below 1.0, the share of them that the key hash picks."""
     points = df.select(key, x, y, hue)
-    return points if share >= 1.0 else points.where(hash_uniform(F.col(key), "points") < share)
+    return points if share >= 1.0 else points.where(hash_uniform(key, "points") < share)
 
 
 def reference_lines(spark: SparkSession, lines: dict[str, DataFrame | float]) -> DataFrame:

@@ -83,7 +83,7 @@ def split(
     df: DataFrame, share: float = 0.7, key: str = KEY, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
     """Two disjoint parts by key hash: the same rows on every cluster and partitioning."""
-    draw = hash_uniform(F.col(key), f"split{seed}")
+    draw = hash_uniform(key, f"split{seed}")
     return df.where(draw < share), df.where(draw >= share)
 
 

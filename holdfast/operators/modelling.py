@@ -23,8 +23,9 @@ from holdfast.operators.features import (
     outcome_label,
     split,
 )
-from holdfast.operators.ordered import in_chunks, running_totals
+from holdfast.operators.ordered import Chunks, in_chunks, running_totals
 from holdfast.schema import CATEGORIES, SCORE
+from holdfast.session import cut_lineage
 
 FILLED = "TotalCharges_filled"
 
@@ -71,8 +72,10 @@ def train(
 ) -> tuple[PipelineModel, DataFrame]:
     """(model, test rows). With ``fit_on="all"`` median and indexes have seen the test rows too;
     ``"train"`` keeps them to the training rows. The classifier sees training rows only.
+
+    Every fitting step reads the rows again, so they are written once and read from there.
     """
-    rows = prepared(df)
+    rows = cut_lineage(prepared(df))
     classifier = logistic() if classifier is None else classifier
     learn, test = split(rows, share)
     if fit_on == "train":
@@ -107,7 +110,7 @@ def evaluator_auc(scored: DataFrame, raw: str = "rawPrediction", label: str = "l
     return scored.sparkSession.range(1).select(F.lit(evaluator.evaluate(scored)).alias("auc"))
 
 
-def score_chunks(df: DataFrame, score: str, label: str) -> DataFrame:
+def score_chunks(df: DataFrame, score: str, label: str) -> Chunks:
     """Positives and negatives per distinct score, chunked in score order."""
     counts = (
         df.select(nan_to_null(F.col(score)).alias("score"), label)
@@ -118,7 +121,7 @@ def score_chunks(df: DataFrame, score: str, label: str) -> DataFrame:
             F.count_if(F.col(label) == 0).alias("neg"),
         )
     )
-    return in_chunks(counts, ["score"])
+    return in_chunks(counts, "score")
 
 
 def exact_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -140,7 +143,7 @@ def recall_threshold(
     A subscriber is predicted to leave when the score is at or above the threshold.
     """
     chunks = score_chunks(df, score, label)
-    totals = chunks.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
+    totals = chunks.rows.agg(F.struct(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).scalar()
     at = (
         running_totals(chunks, "score", ["pos", "neg"])
         .withColumn("all", totals)

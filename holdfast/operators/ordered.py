@@ -1,14 +1,15 @@
 """Work that needs a total order: running totals and exact quantiles of any number of rows.
 
-Rows are first reduced to one per distinct value, then range-partitioned. Each range
-("chunk") is a bounded slice, whatever the value frequencies were. Totals of the earlier
-chunks turn positions inside a chunk into positions in the whole, so no task ever holds
-a whole column or a whole group.
+Rows are first reduced to one per distinct value, then range-partitioned and written. Each
+range ("chunk") is a bounded slice, whatever the value frequencies were. Totals of the
+earlier chunks turn positions inside a chunk into positions in the whole, so no task ever
+holds a whole column or a whole group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,39 +21,86 @@ CHUNK = "chunk"
 VALUE = "value"
 ROWS = "n"
 
+# Up to this many groups, what is known per group and chunk is small enough to broadcast.
+FEW_GROUPS = 10_000
 
-def in_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """`df` range-partitioned on `order`, each row tagged with the number of its range.
 
-    The ranges come from sampling, so they are fixed by a checkpoint before anything
-    reads them twice.
+@dataclass(frozen=True)
+class Chunks:
+    """Rows in ranges of a total order, within groups, and about how many groups there are."""
+
+    rows: DataFrame
+    by: tuple[str, ...]
+    groups: int
+
+    def totals(self, *weights: str) -> DataFrame:
+        """Per group and chunk: sums inside the chunk, in earlier chunks and in the group."""
+        parts = self.rows.groupBy(*self.by, CHUNK).agg(
+            *(F.sum(w).alias(f"{w}_inside") for w in weights)
+        )
+        group = Window.partitionBy(*self.by)
+        earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        sums = {}
+        for w in weights:
+            inside = F.sum(f"{w}_inside")
+            sums[f"{w}_before"] = F.coalesce(inside.over(earlier), F.lit(0))
+            sums[f"{w}_total"] = inside.over(group)
+        return parts.withColumns(sums)
+
+    def join(self, facts: DataFrame) -> DataFrame:
+        """Rows with what is known about their group and chunk.
+
+        `facts` has at most one row per group and chunk. It is broadcast where groups are
+        few; otherwise both sides are shuffled on (group, chunk), which splits a large
+        group over many tasks.
+        """
+        few = self.groups <= FEW_GROUPS
+        side = F.broadcast(facts) if few else facts.hint("merge")
+        return self.rows.join(side, [*self.by, CHUNK])
+
+    def sizes(self) -> DataFrame:
+        return self.totals(ROWS).withColumnsRenamed(
+            {f"{ROWS}_inside": "inside", f"{ROWS}_before": "before", f"{ROWS}_total": "total"}
+        )
+
+    def within(self, order: str):
+        """Window over the rows of one chunk of one group."""
+        return Window.partitionBy(*self.by, CHUNK).orderBy(order)
+
+
+def in_chunks(
+    df: DataFrame, order: str, by: Sequence[str] = (), groups: int | None = None
+) -> Chunks:
+    """`df` range-partitioned on group and `order`, each row tagged with its range's number.
+
+    The ranges come from sampling, so they are fixed in a written table before anything
+    reads them twice. Unless the number of groups is given, it is estimated from that table.
     """
-    ranged = df.repartitionByRange(*order)
-    return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*by, order).withColumn(CHUNK, F.spark_partition_id())
+    rows = cut_lineage(ranged)
+    if not by:
+        groups = 1
+    elif groups is None:
+        groups = rows.agg(F.approx_count_distinct(F.struct(*by))).first()[0]
+    return Chunks(rows, tuple(by), groups)
 
 
-def running_totals(
-    chunked: DataFrame, order: str, weights: Sequence[str], by: Sequence[str] = ()
-) -> DataFrame:
+def running_totals(chunks: Chunks, order: str, weights: Sequence[str]) -> DataFrame:
     """Adds ``<weight>_before``: the sum over all earlier rows of the same group."""
-    parts = chunked.groupBy(*by, CHUNK).agg(*(F.sum(w).alias(f"_{w}") for w in weights))
-    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        *by,
-        CHUNK,
-        *(F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0)).alias(f"_{w}") for w in weights),
-    )
-    inside = (
-        Window.partitionBy(*by, CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.totals(*weights).select(
+        *chunks.by, CHUNK, *(F.col(f"{w}_before").alias(f"_{w}") for w in weights)
     )
+    earlier = chunks.within(order).rowsBetween(Window.unboundedPreceding, -1)
     sums = {
-        f"{w}_before": F.col(f"_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))
+        f"{w}_before": F.col(f"_{w}") + F.coalesce(F.sum(w).over(earlier), F.lit(0))
         for w in weights
     }
-    return chunked.join(offsets, [*by, CHUNK]).withColumns(sums).drop(*(f"_{w}" for w in weights))
+    return chunks.join(offsets).withColumns(sums).drop(*(f"_{w}" for w in weights))
 
 
-def value_chunks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+def value_chunks(
+    df: DataFrame, column: str, by: Sequence[str] = (), groups: int | None = None
+) -> Chunks:
     """Distinct values of `column` per group with their frequency, chunked in value order."""
     counts = (
         df.select(*by, nan_to_null(F.col(column).cast("double")).alias(VALUE))
@@ -60,27 +108,41 @@ def value_chunks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
         .groupBy(*by, VALUE)
         .agg(F.count(F.lit(1)).alias(ROWS))
     )
-    return in_chunks(counts, [*by, VALUE])
-
-
-def chunk_sizes(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per group and chunk: rows inside, rows in earlier chunks, rows in the group."""
-    parts = chunks.groupBy(*by, CHUNK).agg(F.sum(ROWS).alias("inside"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumns(
-        {
-            "before": F.coalesce(F.sum("inside").over(earlier), F.lit(0)),
-            "total": F.sum("inside").over(group),
-        }
-    )
+    return in_chunks(counts, VALUE, by, groups)
+
+
+def _between(low: Column, high: Column, weight: Column) -> Column:
+    """Linear interpolation, reckoned from the nearer end so that both ends are met exactly."""
+    gap = high - low
+    return F.when(weight < 0.5, low + gap * weight).otherwise(high - gap * (1 - weight))
+
+
+def _places(probs: Sequence[float], interpolate: bool) -> Column:
+    """Ranks to look up in a group of `total` rows, counted from 1."""
+    places = []
+    for p in probs:
+        if interpolate:
+            position = (F.col("total") - 1) * F.lit(float(p))
+            weight = position - F.floor(position)
+            ranks = {"low": F.floor(position) + 1, "high": F.ceil(position) + 1}
+        else:
+            weight = F.lit(0.0)
+            rank = F.greatest(F.ceil(F.col("total") * F.lit(float(p))), F.lit(1))
+            ranks = {"low": rank, "high": rank}
+        places += [
+            F.struct(
+                F.lit(float(p)).alias("p"),
+                F.lit(side).alias("side"),
+                rank.cast("bigint").alias("rank"),
+                weight.alias("weight"),
+            )
+            for side, rank in ranks.items()
+        ]
+    return F.array(*places)
 
 
 def chunk_quantiles(
-    chunks: DataFrame,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    interpolate: bool = True,
+    chunks: Chunks, probs: Sequence[float], interpolate: bool = True
 ) -> DataFrame:
     """(by..., p, value): exact quantiles of value chunks.
 
@@ -88,63 +150,42 @@ def chunk_quantiles(
     has it; the others are the smallest element with at least a share p at or below it.
     Only the chunks that hold a wanted rank are sorted.
     """
-    places = []
-    for p in probs:
-        position = (F.col("total") - 1) * F.lit(float(p))
-        if interpolate:
-            low, high = F.floor(position) + 1, F.ceil(position) + 1
-        else:
-            low = high = F.greatest(F.ceil(F.col("total") * F.lit(float(p))), F.lit(1))
-        weight = (position - F.floor(position)) if interpolate else F.lit(0.0)
-        for side, rank in (("low", low), ("high", high)):
-            places.append(
-                F.struct(
-                    F.lit(float(p)).alias("p"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    weight.cast("double").alias("weight"),
-                )
-            )
     here = F.filter(
-        F.array(*places),
+        _places(probs, interpolate),
         lambda w: (w["rank"] > F.col("before")) & (w["rank"] <= F.col("before") + F.col("inside")),
     )
     wanted = (
-        chunk_sizes(chunks, by)
-        .select(*by, CHUNK, "before", here.alias("wanted"))
+        chunks.sizes()
+        .select(*chunks.by, CHUNK, "before", here.alias("wanted"))
         .where(F.size("wanted") > 0)
     )
-    upto = Window.partitionBy(*by, CHUNK).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    upto = chunks.within(VALUE).rowsBetween(Window.unboundedPreceding, 0)
     found = F.filter(
         F.col("wanted"),
         lambda w: (w["rank"] > F.col("upto") - F.col(ROWS)) & (w["rank"] <= F.col("upto")),
     )
     hits = (
-        chunks.join(wanted, [*by, CHUNK])
+        chunks.join(wanted)
         .withColumn("upto", F.col("before") + F.sum(ROWS).over(upto))
-        .select(*by, VALUE, F.explode(found).alias("hit"))
+        .select(*chunks.by, VALUE, F.explode(found).alias("hit"))
     )
 
-    def side(name: str):
+    def side(name: str) -> Column:
         return F.max(F.when(F.col("hit.side") == name, F.col(VALUE)))
 
     return (
-        hits.groupBy(*by, F.col("hit.p").alias("p"))
+        hits.groupBy(*chunks.by, F.col("hit.p").alias("p"))
         .agg(
             side("low").alias("low"),
             side("high").alias("high"),
             F.max("hit.weight").alias("weight"),
         )
-        .select(*by, "p", _between(F.col("low"), F.col("high"), F.col("weight")).alias(VALUE))
+        .select(
+            *chunks.by, "p", _between(F.col("low"), F.col("high"), F.col("weight")).alias(VALUE)
+        )
     )
 
 
-def _between(low: Column, high: Column, weight: Column) -> Column:
-    """Linear interpolation, reckoned from the nearer end so that both ends are met exactly."""
-    gap = high - low
-    return F.when(weight < 0.5, low + gap * weight).otherwise(high - gap * (1 - weight))
-
-
 def exact_quantiles(
     df: DataFrame,
     column: str,
@@ -153,11 +194,15 @@ def exact_quantiles(
     interpolate: bool = True,
 ) -> DataFrame:
     """(by..., p, value) for a numeric column; null and NaN are left out."""
-    return chunk_quantiles(value_chunks(df, column, by), probs, by, interpolate)
+    return chunk_quantiles(value_chunks(df, column, by), probs, interpolate)
 
 
-def quantiles_wide(quantiles: DataFrame, names: dict[float, str], by: Sequence[str] = ()):
-    """One row per group with a column per quantile."""
-    return quantiles.groupBy(*by).agg(
-        *(F.max(F.when(F.col("p") == p, F.col(VALUE))).alias(name) for p, name in names.items())
+def quantiles_wide(chunks: Chunks, names: dict[float, str]) -> DataFrame:
+    """One row per group with a column per interpolated quantile."""
+    return (
+        chunk_quantiles(chunks, list(names))
+        .groupBy(*chunks.by)
+        .agg(
+            *(F.max(F.when(F.col("p") == p, F.col(VALUE))).alias(n) for p, n in names.items())
+        )
     )

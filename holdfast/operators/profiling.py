@@ -13,8 +13,6 @@ from holdfast.operators.ordered import (
     CHUNK,
     ROWS,
     VALUE,
-    chunk_quantiles,
-    chunk_sizes,
     quantiles_wide,
     value_chunks,
 )
@@ -101,18 +99,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     names = df.sparkSession.range(1).select(
         F.explode(F.array(*(F.lit(c) for c in columns))).alias("column")
     )
-    chunks = value_chunks(stacked, "number", ["column"])
-    quartiles = quantiles_wide(
-        chunk_quantiles(chunks, list(QUARTILES), ["column"]), QUARTILES, ["column"]
-    )
-    means = chunks.groupBy("column").agg(
+    chunks = value_chunks(stacked, "number", ["column"], groups=len(columns))
+    quartiles = quantiles_wide(chunks, QUARTILES)
+    means = chunks.rows.groupBy("column").agg(
         (F.sum(F.col(VALUE) * F.col(ROWS)) / F.sum(ROWS)).alias("mean")
     )
     # The mean travels along (column, chunk), so that one long column is many tasks.
-    per_chunk = chunk_sizes(chunks, ["column"]).select("column", CHUNK).join(means, "column")
-    squares = F.sum(F.col(ROWS) * F.pow(F.col(VALUE) - F.col("mean"), 2))
+    per_chunk = chunks.sizes().select("column", CHUNK).join(means, "column")
+    squares = F.sum(F.col(ROWS) * F.pow(F.col(VALUE) - F.col("mean"), F.lit(2.0)))
     moments = (
-        chunks.join(per_chunk, ["column", CHUNK])
+        chunks.join(per_chunk)
         .groupBy("column")
         .agg(
             F.sum(ROWS).alias("count"),

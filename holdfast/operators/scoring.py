@@ -19,9 +19,9 @@ def critical_profile() -> Column:
 
 def rule_score(df: DataFrame, key: str = KEY) -> DataFrame:
     """Base risk in [0.1, 0.4) per subscriber, raised by [0.3, 0.5) for the critical profile."""
-    base = hash_between(F.col(key), "base", 0.1, 0.4)
-    rise = F.when(critical_profile(), hash_between(F.col(key), "bump", 0.3, 0.5)).otherwise(0.0)
-    return df.withColumn(SCORE, clip(base + rise))
+    base = hash_between(key, "base", 0.1, 0.4)
+    rise = F.when(critical_profile(), hash_between(key, "bump", 0.3, 0.5)).otherwise(0.0)
+    return df.withColumn(SCORE, base + rise).withColumn(SCORE, clip(F.col(SCORE)))
 
 
 def with_risk(scored: DataFrame, threshold: float = 0.5, strict: bool = False) -> DataFrame:

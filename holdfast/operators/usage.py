@@ -28,13 +28,13 @@ def usage_by_user(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> Data
     """Per user: events in all and per type, share of errors, spend and the `k` property."""
     n = F.count(F.lit(1))
     k = F.get_json_object("props", "$.k").try_cast("int")
-    return events.groupBy("user_id").agg(
+    return events.withColumn("k", k).groupBy("user_id").agg(
         n.alias("n_events"),
         *(F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in types),
         (F.count_if(F.col("event_type") == "error") / n).alias("error_share"),
         money_sum(F.col("value")).alias("usage_value"),
-        F.sum(k).alias("k_total"),
-        F.max(k).alias("k_max"),
+        F.sum("k").alias("k_total"),
+        F.max("k").alias("k_max"),
     )
 
 

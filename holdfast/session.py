@@ -44,6 +44,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows outlive the executors that made them."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """`df` as a table in the shared folder: computed once, read as often as needed.
+
+    The rows outlive the executors that made them, and Spark knows the table's size when
+    it picks a join. The files stay until the owner of the folder removes them.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.hashing import hash_uniform
-from holdfast.functions.numbers import MONEY
+from holdfast.functions.hashing import uniform_sql
+from holdfast.functions.numbers import cents
 from holdfast.schema import KEY, LEFT, STAYED, SUBSCRIBER, TARGET
 from holdfast.sources.readers import table
 
@@ -41,12 +41,29 @@ DRAWN = [
 INACTIVE_DAYS = 365
 
 
-def _lookup(c: Column, values: dict[str, str]) -> Column:
-    (first, out), *rest = values.items()
-    chain = F.when(c == first, out)
-    for value, out in rest:
-        chain = chain.when(c == value, out)
-    return chain
+def _lookup(column: str, values: dict[str, str]) -> str:
+    cases = " ".join(f"when '{k}' then '{v}'" for k, v in values.items())
+    return f"case {column} {cases} end"
+
+
+def _draw(name: str) -> str:
+    """A fair draw from the key: a digest below 8... is a uniform number below one half."""
+    yes, no = ("Female", "Male") if name == "gender" else ("Yes", "No")
+    return f"if(md5(concat('{name}:', key)) < '8', '{yes}', '{no}')"
+
+
+# Columns of the subscriber table over (key, tenure, total, last_..., c_mktsegment, inactive).
+COLUMNS = {
+    KEY: "key",
+    "SeniorCitizen": f"if({uniform_sql('key', 'senior')} < 0.16D, 1, 0)",
+    "tenure": "tenure",
+    "MonthlyCharges": "coalesce(total div ((tenure + 1) * 1000) / 100D, 0D)",
+    "TotalCharges": "if(tenure = 0, ' ', cast(cast(total / 100BD as decimal(22,2)) as string))",
+    "Contract": f"coalesce({_lookup('last_status', CONTRACTS)}, 'Month-to-month')",
+    "InternetService": _lookup("c_mktsegment", INTERNET),
+    "PaymentMethod": "last_priority",
+    TARGET: f"if(coalesce(inactive, true), '{LEFT}', '{STAYED}')",
+} | {name: _draw(name) for name in DRAWN}
 
 
 def snapshot(orders: DataFrame) -> Column:
@@ -55,7 +72,7 @@ def snapshot(orders: DataFrame) -> Column:
 
 
 def order_history(orders: DataFrame) -> DataFrame:
-    """One row per customer with orders: span, exact total and traits of the last order.
+    """One row per customer with orders: span, total in cents and traits of the last order.
 
     A customer with very many orders is reduced before the shuffle, in the map tasks.
     """
@@ -63,14 +80,16 @@ def order_history(orders: DataFrame) -> DataFrame:
     return orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
-        F.sum(F.col("o_totalprice").cast(MONEY)).alias("total"),
+        F.sum(cents(F.col("o_totalprice"))).alias("total"),
         F.max_by("o_orderstatus", latest).alias("last_status"),
         F.max_by("o_orderpriority", latest).alias("last_priority"),
     )
 
 
-def months_between_dates(first: Column, last: Column) -> Column:
-    return (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first)
+# Whole months from the first to the last order. Every 97th customer is made brand-new,
+# so that blanks exist at every size.
+TENURE = """cast(if(last_order is null or c_custkey % 97 = 0, 0,
+    (year(last_order) - year(first_order)) * 12 + month(last_order) - month(first_order)) as int)"""
 
 
 def subscribers(spark: SparkSession, sf_dir: str, as_of: Column | None = None) -> DataFrame:
@@ -83,36 +102,14 @@ def subscribers(spark: SparkSession, sf_dir: str, as_of: Column | None = None) -
     joined = table(spark, sf_dir, "customer").join(
         order_history(orders), F.col("c_custkey") == F.col("o_custkey"), "left"
     )
-    # Every 97th customer is made brand-new, so that blanks exist at every size.
-    months = F.coalesce(
-        F.when(
-            F.col("c_custkey") % 97 != 0,
-            months_between_dates(F.col("first_order"), F.col("last_order")),
-        ),
-        F.lit(0),
-    ).cast("int")
-    key = F.col("c_custkey").cast("string")
-    rows = joined.withColumn("tenure", months)
-
-    cents = (F.col("total") * 100).cast("bigint")
-    per_month = F.expr("div(cents, (tenure + 1) * 1000)")
     inactive = F.col("last_order") < as_of - F.expr(f"interval {INACTIVE_DAYS} days")
-    columns = {
-        KEY: key,
-        "SeniorCitizen": F.when(hash_uniform(key, "senior") < 0.16, 1).otherwise(0),
-        "tenure": F.col("tenure"),
-        "MonthlyCharges": F.coalesce(per_month / F.lit(100.0), F.lit(0.0)),
-        "TotalCharges": F.when(F.col("tenure") == 0, " ").otherwise(F.col("total").cast("string")),
-        "Contract": F.coalesce(
-            _lookup(F.col("last_status"), CONTRACTS), F.lit("Month-to-month")
-        ),
-        "InternetService": _lookup(F.col("c_mktsegment"), INTERNET),
-        "PaymentMethod": F.col("last_priority"),
-        TARGET: F.when(F.coalesce(inactive, F.lit(True)), LEFT).otherwise(STAYED),
-    }
-    for name in DRAWN:
-        yes, no = ("Female", "Male") if name == "gender" else ("Yes", "No")
-        columns[name] = F.when(hash_uniform(key, name) < 0.5, yes).otherwise(no)
-    return rows.withColumn("cents", cents).select(
-        *(columns[f.name].alias(f.name) for f in SUBSCRIBER.fields)
+    return (
+        joined.withColumns(
+            {
+                "key": F.col("c_custkey").cast("string"),
+                "tenure": F.expr(TENURE),
+                "inactive": inactive,
+            }
+        )
+        .selectExpr(*(f"{COLUMNS[f.name]} as {f.name}" for f in SUBSCRIBER.fields))
     )
