@@ -9,14 +9,23 @@ from pyspark.sql import functions as F
 # digit groups ("1,000") do not.
 NUMBER = r"^[ \t\r\n]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\r\n]*$"
 
+# Fixed pattern: how text spells an infinite number.
+INFINITE = r"^[+-]?(?i:inf|infinity)$"
+
+
 def nan_to_null(c: Column) -> Column:
     """NaN sorts above every number in Spark, so it must go before any comparison."""
     return F.nullif(c, F.lit(float("nan")))
 
 
 def parse_number(c: Column) -> Column:
-    """Text to double; whatever is not a plain decimal number becomes null."""
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    """Text to double; whatever is not a plain decimal number becomes null.
+
+    Numbers beyond the range of a double are not numbers either, unless spelled as infinite.
+    """
+    number = c.try_cast("double")
+    finite = F.abs(number) < float("inf")
+    return F.when((c.rlike(NUMBER) & finite) | c.rlike(INFINITE), number)
 
 
 def to_double(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.hashing import hash_uniform
+from holdfast.operators.ordered import in_chunks, running_totals
 from holdfast.schema import CATEGORIES, KEY, LEFT, MEASURES, STAYED, TARGET
 
 FEATURES = [*MEASURES, *(f"{c}_index" for c in CATEGORIES)]
@@ -21,6 +22,7 @@ def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, label, n, index): labels by falling frequency, ties in alphabetical order.
 
     All columns are counted in one scan; the window sees one row per distinct label.
+    `ranked_labels` is the way for columns that are hardly categories any more.
     """
     rank = Window.partitionBy("column").orderBy(F.desc("n"), "label")
     return (
@@ -38,6 +40,56 @@ def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return tall.groupBy("column").agg(F.count("label").alias("labels"))
 
 
+def ranked_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of `category_labels` for columns with very many labels.
+
+    The rank is a running count over ranges of (frequency, label), so no task sees all
+    labels of a column.
+    """
+    counts = (
+        df.unpivot([], list(columns), "column", "label")
+        .where(F.col("label").isNotNull())
+        .groupBy("column", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("column", F.struct((-F.col("n")).alias("less"), "label").alias("place"))
+        .withColumn("one", F.lit(1).cast("bigint"))
+    )
+    chunks = in_chunks(counts, "place", ["column"], groups=len(columns))
+    return running_totals(chunks, "place", ["one"]).select(
+        "column",
+        "place.label",
+        (-F.col("place.less")).alias("n"),
+        F.col("one_before").cast("double").alias("index"),
+    )
+
+
+def with_joined_index(df: DataFrame, column: str, frequent: int = 1000) -> DataFrame:
+    """Adds ``<column>_index`` by joins, for a column whose labels are too many for a model.
+
+    The `frequent` most frequent labels are broadcast; every other label has fewer than one
+    row in `frequent`, so the shuffled join that finds those meets no hot label. Rows that
+    need no second look are spread by their hash.
+    """
+    name = f"{column}_index"
+    labels = ranked_labels(df, [column]).select("label", "index")
+    extra = labels.agg(F.count(F.lit(1)).cast("double")).scalar()
+    top = labels.where(F.col("index") < frequent).select(
+        F.col("label").alias(column), F.col("index").alias("top_index")
+    )
+    rest = labels.where(F.col("index") >= frequent).select(
+        F.lit(True).alias("open"), F.col("label").alias("probe"), F.col("index").alias(name)
+    )
+    is_open = F.col("top_index").isNull() & F.col(column).isNotNull()
+    spread = F.xxhash64(*df.columns).cast("string")
+    return (
+        df.join(F.broadcast(top), column, "left")
+        .withColumn("open", is_open)
+        .withColumn("probe", F.when(F.col("open"), F.col(column)).otherwise(spread))
+        .join(rest, ["open", "probe"], "left")
+        .select(*df.columns, F.coalesce("top_index", name, extra).alias(name))
+    )
+
+
 def category_indexer(columns: Sequence[str]) -> Estimator:
     """One indexer for all columns, fitted in one pass; null and unseen share an extra index."""
     return StringIndexer(

@@ -117,28 +117,14 @@ def _between(low: Column, high: Column, weight: Column) -> Column:
     return F.when(weight < 0.5, low + gap * weight).otherwise(high - gap * (1 - weight))
 
 
-def _places(probs: Sequence[float], interpolate: bool) -> Column:
-    """Ranks to look up in a group of `total` rows, counted from 1."""
-    places = []
-    for p in probs:
-        if interpolate:
-            position = (F.col("total") - 1) * F.lit(float(p))
-            weight = position - F.floor(position)
-            ranks = {"low": F.floor(position) + 1, "high": F.ceil(position) + 1}
-        else:
-            weight = F.lit(0.0)
-            rank = F.greatest(F.ceil(F.col("total") * F.lit(float(p))), F.lit(1))
-            ranks = {"low": rank, "high": rank}
-        places += [
-            F.struct(
-                F.lit(float(p)).alias("p"),
-                F.lit(side).alias("side"),
-                rank.cast("bigint").alias("rank"),
-                weight.alias("weight"),
-            )
-            for side, rank in ranks.items()
-        ]
-    return F.array(*places)
+def _place(p: float, interpolate: bool) -> str:
+    """SQL for the ranks that decide quantile `p` of `total` rows, counted from 1."""
+    at = f"((total - 1) * {p}D)" if interpolate else f"(greatest(ceil(total * {p}D), 1) - 1)"
+    return ", ".join(
+        f"named_struct('p', {p}D, 'side', '{side}', 'rank', cast({edge}({at}) + 1 as bigint),"
+        f" 'weight', cast({at} - floor({at}) as double))"
+        for side, edge in (("low", "floor"), ("high", "ceil"))
+    )
 
 
 def chunk_quantiles(
@@ -150,40 +136,27 @@ def chunk_quantiles(
     has it; the others are the smallest element with at least a share p at or below it.
     Only the chunks that hold a wanted rank are sorted.
     """
-    here = F.filter(
-        _places(probs, interpolate),
-        lambda w: (w["rank"] > F.col("before")) & (w["rank"] <= F.col("before") + F.col("inside")),
-    )
+    places = ", ".join(_place(float(p), interpolate) for p in probs)
+    here = f"filter(array({places}), w -> w.rank > before and w.rank <= before + inside)"
     wanted = (
         chunks.sizes()
-        .select(*chunks.by, CHUNK, "before", here.alias("wanted"))
-        .where(F.size("wanted") > 0)
+        .select(*chunks.by, CHUNK, "before", F.expr(here).alias("wanted"))
+        .where("size(wanted) > 0")
     )
     upto = chunks.within(VALUE).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.filter(
-        F.col("wanted"),
-        lambda w: (w["rank"] > F.col("upto") - F.col(ROWS)) & (w["rank"] <= F.col("upto")),
-    )
+    found = f"filter(wanted, w -> w.rank > upto - {ROWS} and w.rank <= upto)"
     hits = (
         chunks.join(wanted)
         .withColumn("upto", F.col("before") + F.sum(ROWS).over(upto))
-        .select(*chunks.by, VALUE, F.explode(found).alias("hit"))
+        .select(*chunks.by, VALUE, F.expr(f"explode({found})").alias("hit"))
     )
-
-    def side(name: str) -> Column:
-        return F.max(F.when(F.col("hit.side") == name, F.col(VALUE)))
-
-    return (
-        hits.groupBy(*chunks.by, F.col("hit.p").alias("p"))
-        .agg(
-            side("low").alias("low"),
-            side("high").alias("high"),
-            F.max("hit.weight").alias("weight"),
-        )
-        .select(
-            *chunks.by, "p", _between(F.col("low"), F.col("high"), F.col("weight")).alias(VALUE)
-        )
+    ends = hits.groupBy(*chunks.by, F.col("hit.p").alias("p")).agg(
+        F.expr(f"max(if(hit.side = 'low', {VALUE}, null))").alias("low"),
+        F.expr(f"max(if(hit.side = 'high', {VALUE}, null))").alias("high"),
+        F.max("hit.weight").alias("weight"),
     )
+    between = _between(F.col("low"), F.col("high"), F.col("weight"))
+    return ends.select(*chunks.by, "p", between.alias(VALUE))
 
 
 def exact_quantiles(
@@ -202,7 +175,5 @@ def quantiles_wide(chunks: Chunks, names: dict[float, str]) -> DataFrame:
     return (
         chunk_quantiles(chunks, list(names))
         .groupBy(*chunks.by)
-        .agg(
-            *(F.max(F.when(F.col("p") == p, F.col(VALUE))).alias(n) for p, n in names.items())
-        )
+        .agg(*(F.expr(f"max(if(p = {p}D, {VALUE}, null))").alias(n) for p, n in names.items()))
     )

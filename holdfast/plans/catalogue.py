@@ -319,6 +319,17 @@ def category_labels(spark, sf_dir):
     return features.category_labels(cleaned(spark, sf_dir), [*CATEGORIES, TARGET])
 
 
+@report
+def category_labels_ranked(spark, sf_dir):
+    return features.ranked_labels(cleaned(spark, sf_dir), [*CATEGORIES, TARGET])
+
+
+@report
+def payment_index_joined(spark, sf_dir):
+    indexed = features.with_joined_index(cleaned(spark, sf_dir), "PaymentMethod")
+    return indexed.select(KEY, "PaymentMethod", "PaymentMethod_index")
+
+
 @report
 def category_index(spark, sf_dir):
     names = [*CATEGORIES, TARGET]

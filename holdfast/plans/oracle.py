@@ -355,6 +355,12 @@ ORACLE: dict[str, str] = {
         )
     ),
     "category_labels": sql("SELECT * FROM labels_of", _labels("cleaned", INDEXED)),
+    "category_labels_ranked": sql("SELECT * FROM labels_of", _labels("cleaned", INDEXED)),
+    "payment_index_joined": sql(
+        f"""SELECT "customerID", "PaymentMethod",
+        {_index("PaymentMethod")} AS "PaymentMethod_index" FROM cleaned s""",
+        _labels("cleaned", ["PaymentMethod"]),
+    ),
     "category_index": sql(
         f"""SELECT "customerID", {", ".join(f'{_index(c)} AS "{c}_index"' for c in INDEXED)}
         FROM cleaned s""",

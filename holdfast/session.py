@@ -27,11 +27,14 @@ def local_session(app: str = "holdfast", cores: str = "8", **conf: str) -> Spark
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) is a folder made and set.
+    A session on one machine that names none (tests) gets a folder of its own; a cluster
+    must name one, since no machine's own disk will do.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = tempfile.mkdtemp(prefix="holdfast-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)

@@ -37,6 +37,20 @@ def test_labels_and_indexer_agree(spark, people):
         assert values(seen) == [(r["index"],)]
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_joined_index_equals_the_indexer(spark, people, frequent):
+    clean = clean_zero(people).withColumn(
+        "PaymentMethod", F.when(F.col(KEY) != "5", F.col("PaymentMethod"))
+    )
+    joined = features.with_joined_index(clean, "PaymentMethod", frequent)
+    fitted = features.with_category_index(clean, ["PaymentMethod"])
+    columns = [KEY, "PaymentMethod", "PaymentMethod_index"]
+    assert sorted(map(str, values(joined, *columns))) == sorted(
+        map(str, values(fitted, *columns))
+    )
+    assert joined.columns == fitted.columns
+
+
 def test_unseen_labels_share_the_extra_index(spark):
     seen = spark.createDataFrame([("a",), ("b",), ("a",)], "c string")
     model = features.category_indexer(["c"]).fit(seen)

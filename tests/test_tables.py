@@ -253,7 +253,7 @@ def test_complaint_words(spark):
 
 
 def test_parse_number_agrees_with_pandas(spark):
-    texts = ["1", "-2.5", "1e2", "+.5", "7.", "x", "", " 3 ", "1d", "0x1", "--1", "1e"]
+    texts = ["1", "-2.5", "1e2", "+.5", "7.", "x", "", " 3 ", "1d", "0x1", "--1", "1e", "1e400", "-inf"]
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     got = [r.y for r in df.select(parse_number(F.col("x")).alias("y")).collect()]
     expected = pd.to_numeric(pd.Series(texts), errors="coerce")
