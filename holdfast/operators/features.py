@@ -63,12 +63,14 @@ def ranked_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def with_joined_index(df: DataFrame, column: str, frequent: int = 1000) -> DataFrame:
+def with_joined_index(
+    df: DataFrame, column: str, frequent: int = 1000, key: str = KEY
+) -> DataFrame:
     """Adds ``<column>_index`` by joins, for a column whose labels are too many for a model.
 
     The `frequent` most frequent labels are broadcast; every other label has fewer than one
     row in `frequent`, so the shuffled join that finds those meets no hot label. Rows that
-    need no second look are spread by their hash.
+    need no second look are spread by the hash of their key.
     """
     name = f"{column}_index"
     labels = ranked_labels(df, [column]).select("label", "index")
@@ -80,7 +82,7 @@ def with_joined_index(df: DataFrame, column: str, frequent: int = 1000) -> DataF
         F.lit(True).alias("open"), F.col("label").alias("probe"), F.col("index").alias(name)
     )
     is_open = F.col("top_index").isNull() & F.col(column).isNotNull()
-    spread = F.xxhash64(*df.columns).cast("string")
+    spread = F.xxhash64(key).cast("string")
     return (
         df.join(F.broadcast(top), column, "left")
         .withColumn("open", is_open)
