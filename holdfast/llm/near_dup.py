@@ -39,18 +39,19 @@ class NearDup:
     """`words` per shingle; texts at or above `similarity` are linked.
 
     At similarity 0.8 a pair shares no band with probability
-    (1 - 0.8**rows)**bands = 5e-6 for the defaults. `weight` is "set" (each distinct shingle
-    counts one: plain Jaccard) or "count" (as often as it occurs). `leaders` is how many
-    members of a bucket are compared with the rest of it in one turn; turns go on until no
-    bucket holds a pair of unconnected texts that has not been compared.
+    (1 - 0.8**rows)**bands = 3e-6 for the defaults. `weight` is "set" (each distinct shingle
+    counts one: plain Jaccard) or "count" (as often as it occurs). Each bucket first
+    compares one member with the rest; buckets that are not connected by that take further
+    members in turns, as many at once as keep the pairs of a turn below `spread` times the
+    bucket entries, until no bucket holds a pair of unconnected texts that was not compared.
     """
 
     words: int = 5
     similarity: float = 0.8
-    bands: int = 40
-    rows: int = 6
+    bands: int = 32
+    rows: int = 5
     weight: str = "set"
-    leaders: int = 4
+    spread: int = 16
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -77,27 +78,35 @@ def dart_minhash(
 
     first = np.full(n * coordinates, np.inf)
     won = np.zeros(n * coordinates, np.uint64)
-    until = coordinates * (math.log(coordinates) + 3) / np.maximum(mass, 1e-300)
+    until = coordinates * (math.log(coordinates) + 2) / np.maximum(mass, 1e-300)
+    partial = bool((width < 1).any())
     live = np.ones(len(cell), bool)
     while live.any():
-        cells_, who, wide = cell[live], owner[live], width[live]
-        time = np.zeros(len(cells_))
-        throw = 0
-        while len(cells_):
-            throw += 1
-            dart = mix(cells_ + np.full(1, throw, np.uint64) * _STEP)
-            time = time - np.log1p(-_unit(dart))
-            keep = time <= until[who]
-            cells_, who, wide, time, dart = (
-                x[keep] for x in (cells_, who, wide, time, dart)
-            )
-            inside = _unit(mix(dart ^ _SIDE)) < wide
-            slot = who[inside] * coordinates + (
-                mix(dart[inside] ^ _SLOT) % _U(coordinates)
-            ).astype(np.int64)
-            np.minimum.at(first, slot, time[inside])
-            best = time[inside] == first[slot]
-            won[slot[best]] = dart[inside][best]
+        at, who, wide = cell[live], owner[live], width[live]
+        time, throw = np.zeros(len(at)), 0
+        while len(at):
+            # Few cells left: several throws for each at once.
+            many = max(1, min(64, 65536 // len(at)))
+            turn = np.arange(throw + 1, throw + many + 1, dtype=np.uint64) * _STEP
+            dart = mix(at[:, None] + turn)
+            spell = -np.log1p(-_unit(dart))
+            spell[:, 0] += time
+            when = np.cumsum(spell, axis=1)
+            hit = when <= until[who][:, None]
+            if partial:
+                inside = hit & (_unit(mix(dart ^ _SIDE)) < wide[:, None])
+            else:
+                inside = hit
+            thrown, early = dart[inside], when[inside]
+            slot = ((thrown ^ (thrown >> _U(29))) * _SLOT) >> _U(32)
+            slot = ((slot * _U(coordinates)) >> _U(32)).astype(np.int64)
+            slot += np.repeat(who * coordinates, inside.sum(axis=1))
+            np.minimum.at(first, slot, early)
+            best = early == first[slot]
+            won[slot[best]] = thrown[best]
+            keep = hit[:, -1]
+            at, who, wide, time = at[keep], who[keep], wide[keep], when[keep, -1]
+            throw += many
         # Sets with a slot that no dart has hit yet get twice the time.
         short = np.isinf(first.reshape(n, coordinates)).any(axis=1)
         live = short[owner]
@@ -230,15 +239,18 @@ def near_duplicates(
         )
     )
     entries = texts.select("node", F.explode("keys").alias("key"))
+    # Four orders of the texts, so that the buckets of one text have different first members.
+    order = F.xxhash64("node", F.pmod("key", F.lit(4)))
     shared = (
         entries.groupBy("key")
-        .agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-        .where("lead != last")
-        .drop("last")
+        .agg(F.min_by("node", order).alias("lead"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
     )
     members = cut_lineage(entries.join(shared, "key"))
 
-    stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    stars = members.where("node != lead").select(
+        F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")
+    )
     pairs = cut_lineage(_alike(stars.distinct(), texts, how))
     wanted = members.select("node").distinct().join(texts.select("node", "doc"), "node")
     # Of equal texts the row with the smallest id is read, repeated rows once.
@@ -255,26 +267,30 @@ def near_duplicates(
     links = cut_lineage(_linked(pairs, sets, how))
     parts = cut_lineage(members.select(graph.NODE).distinct().withColumn("part", F.col("node")))
     parts = graph.merge(parts, links)
-    found, done, turn = [links], pairs, 0
+    found, done, low = [links], pairs, 0
+    most = how.spread * members.count()
     while True:
-        # Buckets whose members are not all connected: further leaders, further pairs.
-        held = members.join(parts, "node")
+        # Buckets whose members are not all connected: further members against the rest.
+        held = members.where(F.col("n") > low + 1).join(parts, "node")
         mixed = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"))
         mixed = mixed.where("p != q").select("key")
         ranked = held.join(mixed, "key").withColumn(
             "rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))
         )
-        low = 1 + turn * how.leaders
         ranked = cut_lineage(ranked.where(F.col("rank") > low))
-        if not ranked.take(1):
+        steps = [4**i for i in range(1, 16)]
+        upto = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        costs = upto.agg(*(F.sum(F.col("m") * F.least("m", F.lit(k))) for k in steps)).first()
+        if costs[0] is None:
             break
-        leaders = ranked.where(F.col("rank") <= low + how.leaders).select(
+        width = max([k for k, cost in zip(steps, costs) if cost <= most], default=steps[0])
+        leaders = ranked.where(F.col("rank") <= low + width).select(
             "key", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("rank").alias("ra")
         )
         pairs = (
             leaders.join(ranked, "key")
             .where("rank > ra and pa != part")
-            .select("a", F.col("node").alias("b"))
+            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
             .distinct()
             .join(done, ["a", "b"], "left_anti")
         )
@@ -283,7 +299,7 @@ def near_duplicates(
         parts = graph.merge(parts, links)
         found.append(links)
         done = done.unionByName(pairs)
-        turn += 1
+        low += width
 
     every = found[0]
     for more in found[1:]:

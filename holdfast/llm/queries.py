@@ -6,20 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.llm.decontaminate import contaminated
+from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
+from holdfast.llm.oracle import OP8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, as it is or with other slots, and the item."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of near duplicates that it belongs to."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's target and the words that the mix takes of it."""
+    sizes = mixed_sizes(_table(spark, sf_dir, "documents"))
+    return sizes.select("doc_id", "size", "source_size", "target", "taken")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op7_near_dup": op7_near_dup,
+    "op8_mixing": op8_mixing,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {"op8_mixing": OP8}

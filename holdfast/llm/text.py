@@ -112,10 +112,9 @@ def _cuts(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts that `buffers` returned; `lower` takes A to Z as a to z."""
-    starts, ends, hashes = [], [], []
-    table = _BYTE[_LOWER if lower else _SAME]
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts begin and end."""
+    starts, ends = [], []
     for lo, hi in _cuts(data, PIECE):
         part = data[lo:hi]
         inside = ~_SPACE[part]
@@ -127,22 +126,55 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
         new = offsets[first:last] - lo
         new = np.unique(new[(new > 0) & (new < len(part))])
         split = new[inside[new] & inside[new - 1]]
-        edge[split] = False
         at = np.flatnonzero(edge)
-        start = np.sort(np.concatenate([at[::2], split]))
-        end = np.sort(np.concatenate([at[1::2], split]))
-        up, down = _Powers.upto(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * up[: len(part)], out=total[1:])
-        found = (total[end] - total[start]) * down[start]
-        hashes.append(mix(found + (end - start).astype(np.uint64) * _ODD))
-        starts.append(start + lo)
-        ends.append(end + lo)
+        if len(split):
+            starts.append(np.sort(np.concatenate([at[::2], split])) + lo)
+            ends.append(np.sort(np.concatenate([at[1::2], split])) + lo)
+        else:
+            starts.append(at[::2] + lo)
+            ends.append(at[1::2] + lo)
     if not starts:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(len(offsets), np.int64), none, none, none.astype(np.uint64))
-    start, end = np.concatenate(starts), np.concatenate(ends)
-    return Words(np.searchsorted(start, offsets), start, end, np.concatenate(hashes))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """A hash of the bytes of each span; spans are in order and hold no white space."""
+    table = _BYTE[_LOWER if lower else _SAME]
+    out = np.empty(len(start), np.uint64)
+    for lo, hi in _cuts(data, PIECE):
+        up, down = _Powers.upto(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        a, b = np.searchsorted(start, (lo, hi))
+        s, e = start[a:b] - lo, end[a:b] - lo
+        out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _ODD)
+    return out
+
+
+def words(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, trim: np.ndarray | None = None
+) -> Words:
+    """Words of the texts that `buffers` returned; `lower` takes A to Z as a to z.
+
+    `trim` says for each byte whether to cut it from the ends of words; words that have
+    nothing else are left out.
+    """
+    start, end = _spans(data, offsets)
+    if trim is not None and len(start):
+        cut = np.flatnonzero(trim[data[start]])
+        while len(cut):
+            start[cut] += 1
+            cut = cut[start[cut] < end[cut]]
+            cut = cut[trim[data[start[cut]]]]
+        some = start < end
+        start, end = start[some], end[some]
+        cut = np.flatnonzero(trim[data[end - 1]])
+        while len(cut):
+            end[cut] -= 1
+            cut = cut[trim[data[end[cut] - 1]]]
+    bounds = np.searchsorted(start, offsets)
+    return Words(bounds, start, end, _hashes(data, start, end, lower))
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -167,7 +199,11 @@ def shingles(found: Words, size: int) -> list[np.ndarray]:
     for lo, hi in zip(found.bounds[:-1], found.bounds[1:]):
         n = int(hi - lo)
         if n >= size:
-            sets.append(np.unique(window[lo : hi - size + 1]))
+            own = np.sort(window[lo : hi - size + 1])
+            new = np.empty(len(own), bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            sets.append(own[new])
         else:
             sets.append(runs(found.hash[lo:hi], n) if n else window[:0])
     return sets
