@@ -216,20 +216,19 @@ def _alike(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
-def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: NearDup = NearDup()
-) -> DataFrame:
-    """(doc_id, class_id, class_size, n_links) for every row of `docs`.
-
-    `class_id` is the smallest id in the class, `n_links` the number of checked links of the
-    row's text to other texts (each bucket leader's links; members joined through a leader
-    are not compared once they are connected). Texts are identified by a 64-bit hash.
-    """
-    node = F.when(F.col("text").rlike(WORD), F.xxhash64("text"))
-    rows = docs.select(
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Id, text and the hash that stands for the text; null for a text without words."""
+    return docs.select(
         F.col(id_column).cast("bigint").alias("doc"), F.col(text_column).alias("text")
-    ).withColumn("node", node)
+    ).withColumn("node", _node("text"))
+
 
+def _node(column: str):
+    return F.when(F.col(column).rlike(WORD), F.xxhash64(column))
+
+
+def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
+    """(node, doc, class_id, n_links) per text: its smallest id, its class, its links."""
     signed = rows.where("node is not null").mapInArrow(
         _sign(how), "doc bigint, node bigint, mass double, keys array<bigint>"
     )
@@ -312,18 +311,31 @@ def near_duplicates(
     near = parts.join(texts.select("node", "doc"), "node").join(degree, "node", "left")
     label = near.groupBy("part").agg(F.min("doc").alias("least"))
     near = near.join(label, "part").select("node", "least", "n_links")
-    counts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    known = (
+    return (
         texts.select("node", "doc")
         .join(near, "node", "left")
-        .join(counts, "node")
-        .select("node", "n", "n_links", F.coalesce("least", "doc").alias("class_id"))
+        .select("node", "doc", "n_links", F.coalesce("least", "doc").alias("class_id"))
     )
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: NearDup = NearDup()
+) -> DataFrame:
+    """(doc_id, class_id, class_size, n_links) for every row of `docs`.
+
+    `class_id` is the smallest id in the class, `n_links` the number of checked links of the
+    row's text to other texts (texts that are connected already are not compared again).
+    Texts are identified by a 64-bit hash.
+    """
+    rows = _rows(docs, id_column, text_column)
+    classes = _classes(rows, how).drop("doc")
+    counts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    known = classes.join(counts, "node")
     sizes = known.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    classes = known.join(sizes, "class_id").drop("n")
+    known = known.join(sizes, "class_id").drop("n")
     return (
         rows.drop("text")
-        .join(classes, "node", "left")
+        .join(known, "node", "left")
         .select(
             F.col("doc").alias(id_column),
             F.coalesce("class_id", "doc").alias("class_id"),
@@ -331,3 +343,23 @@ def near_duplicates(
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", how: NearDup = NearDup()
+) -> DataFrame:
+    """The rows of `docs` with one row for each class: that of the smallest id, once."""
+    classes = _classes(_rows(docs, id_column, text_column), how)
+    first = classes.groupBy("class_id").agg(F.min(F.struct("doc", "node")).alias("first"))
+    first = first.select(F.col("first.node").alias("node"), F.col("first.doc").alias("least"))
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(id_column).cast("bigint").alias("doc"),
+        _node(text_column).alias("node"),
+    )
+    kept = (
+        packed.join(first, "node")
+        .where(F.col("doc").eqNullSafe(F.col("least")))
+        .dropDuplicates(["node"])
+    )
+    return kept.select("row.*").unionByName(packed.where("node is null").select("row.*"))

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.text import WORD
 from holdfast.session import cut_lineage
 
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[^#*$%&|<>]+"
 
 STATISTICS = (
     "n_words",
@@ -70,15 +69,16 @@ class Test:
         return c > self.cut if self.above else c <= self.cut
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _count(others: str) -> Column:
+    """How many characters are left when runs of `others` go."""
+    return F.length(F.regexp_replace("text", others, ""))
 
 
 # Words in windows that occur at least twice: windows are hashed, equal hashes are neighbours
 # after sorting, and the places of repeated windows are merged into the words they cover.
 _REPEATED = """
 aggregate(
-    array_sort(transform(
+    sort_array(transform(
         filter(ordered, (w, i) ->
             w.hash = get(ordered, i - 1).hash or w.hash = get(ordered, i + 1).hash),
         w -> w.at)),
@@ -102,37 +102,43 @@ def statistics(docs: DataFrame, text_column: str = "text", window: int = 8) -> D
             "lines": F.filter(F.split("text", "\n"), lambda s: s.rlike(WORD)),
         }
     )
-    hashes = f"""
-        transform(sequence(1, size(words) - {window} + 1),
-            i -> xxhash64(slice(words, i, {window})))
-    """
+    # get() looks one element up; slice() would copy the array for every window.
+    next_words = ", ".join(f"get(marks, i + {k})" for k in range(1, window))
+    hashes = f"transform(marks, (m, i) -> xxhash64(m, {next_words}))"
     counted = (
-        split.withColumn(
-            "hashes", F.expr(f"if(size(words) < {window}, array(), {hashes})").cast("array<bigint>")
+        split.withColumn("marks", F.expr("transform(words, w -> xxhash64(w))"))
+        .withColumn("every", F.expr(hashes))
+        # The last places begin no whole window.
+        .withColumn(
+            "hashes",
+            F.expr(
+                f"if(size(every) < {window}, cast(array() as array<bigint>),"
+                f" slice(every, 1, size(every) - {window - 1}))"
+            ),
         )
         .withColumns(
             {
                 "n_words": F.size("words").cast("bigint"),
-                "word_chars": F.length(F.translate("text", SPACES, "")).cast("bigint"),
-                "n_symbols": _count(F.col("text"), SYMBOLS).cast("bigint"),
+                "word_chars": F.length(F.array_join("words", "")).cast("bigint"),
+                "n_symbols": _count(SYMBOLS).cast("bigint"),
                 "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"),
-                "n_distinct": F.size(F.array_distinct("words")),
+                "n_distinct": F.size(F.array_distinct("marks")),
                 "n_lines": F.size("lines"),
                 "n_short": F.size(F.filter("lines", lambda s: F.length(s) < 30)),
                 "ordered": F.when(
                     F.size(F.array_distinct("hashes")) < F.size("hashes"),
-                    F.array_sort(
+                    F.sort_array(
                         F.transform(
                             "hashes", lambda h, i: F.struct(h.alias("hash"), i.alias("at"))
                         )
                     ),
                 ),
-                "n_capitals": F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", "")),
-                "n_digits": _count(F.col("text"), "0123456789"),
-                "n_marks": _count(F.col("text"), "!?"),
+                "n_capitals": _count("[^A-Z]+"),
+                "n_digits": _count("[^0-9]+"),
+                "n_marks": _count("[^!?]+"),
             }
         )
-        .drop("words", "lines", "hashes")
+        .drop("words", "lines", "marks", "every", "hashes")
     )
     repeated = F.expr(_REPEATED.format(n=window))
     every = counted.withColumn("n_repeat_words", F.coalesce(repeated, F.lit(0)).cast("bigint"))

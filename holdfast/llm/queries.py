@@ -5,17 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from holdfast.llm.decontaminate import contaminated
 from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
 from holdfast.llm.oracle import OP8
+from holdfast.llm.quality import quality
+from holdfast.llm.secrets import secrets, trained
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets: those of the patterns and those of the network."""
+    docs = _table(spark, sf_dir, "documents")
+    return secrets(docs, trained(docs))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its statistics and the verdict of base rules and learned list."""
+    judged = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *judged.drop("row").columns)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, as it is or with other slots, and the item."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -33,6 +48,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
