@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.decontaminate import contaminated
+from holdfast.llm.lm import scores
 from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
 from holdfast.llm.oracle import OP8
@@ -36,6 +37,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log probability under a model of four fifths of them."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return scores(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of near duplicates that it belongs to."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -51,6 +58,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
 }
