@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm.chat import formatted, read_back
 from holdfast.llm.decontaminate import contaminated
 from holdfast.llm.lm import scores
 from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
-from holdfast.llm.oracle import OP8
+from holdfast.llm.oracle import OP5, OP8, OP9, OP10
 from holdfast.llm.quality import quality
 from holdfast.llm.secrets import secrets, trained
+from holdfast.llm.urls import Rule, judged
+from holdfast.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,22 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+# The rules that the url query applies.
+RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule or the reputation that decides its url."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    return judged(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log probability under a model of four fifths of them."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
@@ -54,13 +73,50 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# Fixed value: a text that holds marks of several chat templates.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as its formatted windows say when they are read back."""
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ours = F.array(
+        *(
+            F.struct(F.lit(n).cast("bigint").alias("turn"), F.lit(role).alias("role"))
+            for n, role in enumerate(("user", "assistant"))
+        )
+    )
+    one = spark.range(1).select(F.lit(-7).cast("bigint").alias("conv_id"), F.inline(ours))
+    windowed = formatted(said.unionByName(one.withColumn("text", F.lit(TRICKY))))
+    return read_back(windowed)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the index of the archive says that was written and read back."""
+    return archived(_table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"),
+        F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_url_filter": op5_url_filter,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_near_dup": op7_near_dup,
     "op8_mixing": op8_mixing,
+    "op9_chat": op9_chat,
+    "op10_warc": op10_warc,
 }
 
-LLM_ORACLE: dict[str, str] = {"op8_mixing": OP8}
+LLM_ORACLE: dict[str, str] = {
+    "op5_url_filter": OP5,
+    "op8_mixing": OP8,
+    "op9_chat": OP9,
+    "op10_warc": OP10,
+}
