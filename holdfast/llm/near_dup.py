@@ -40,10 +40,9 @@ class NearDup:
 
     At similarity 0.8 a pair shares no band with probability
     (1 - 0.8**rows)**bands = 3e-6 for the defaults. `weight` is "set" (each distinct shingle
-    counts one: plain Jaccard) or "count" (as often as it occurs). Each bucket first
-    compares one member with the rest; buckets that are not connected by that take further
-    members in turns, as many at once as keep the pairs of a turn below `spread` times the
-    bucket entries, until no bucket holds a pair of unconnected texts that was not compared.
+    counts one: plain Jaccard) or "count" (as often as it occurs). Each bucket
+    first compares one member with the rest. The texts of buckets that are not connected by
+    that are joined exactly, by prefix filtering, so none of their links is lost.
     """
 
     words: int = 5
@@ -51,7 +50,6 @@ class NearDup:
     bands: int = 32
     rows: int = 5
     weight: str = "set"
-    spread: int = 16
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -127,25 +125,26 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _counted(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of one text and how often each occurs."""
+    if not len(hashes):
+        return hashes, np.zeros(0)
+    shingle, n = np.unique(runs(hashes, min(size, len(hashes))), return_counts=True)
+    return shingle, n.astype(float)
+
+
 def _weighted(found, how: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Elements, weights and bounds of the shingle sets of some texts."""
-    sets = shingles(found, how.words)
     if how.weight == "set":
+        sets = shingles(found, how.words)
         weights = [np.ones(len(s)) for s in sets]
     else:
-        weights = []
-        for s, lo, hi in zip(sets, found.bounds[:-1], found.bounds[1:]):
-            every = _every(found.hash[lo:hi], how.words)
-            weights.append(np.bincount(np.searchsorted(s, every), minlength=len(s)).astype(float))
+        spans = zip(found.bounds[:-1], found.bounds[1:])
+        sets, weights = zip(*(_counted(found.hash[lo:hi], how.words) for lo, hi in spans))
     sizes = [len(s) for s in sets]
     return np.concatenate(sets), np.concatenate(weights), np.cumsum([0, *sizes])
 
 
-def _every(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The shingles of one text as often as they occur."""
-    return runs(hashes, min(size, len(hashes))) if len(hashes) else hashes
-
-
 def _sign(how: NearDup):
     def sign(batches):
         for part in slices(batches, "text"):
@@ -168,38 +167,33 @@ def _sign(how: NearDup):
 
 
 def _sets(how: NearDup):
+    """Elements for the exact check: a shingle with weight n stands for n elements."""
+
     def sets(batches):
         for part in slices(batches, "text"):
             found = words(*buffers(part.column("text")))
             elements, weights, bounds = _weighted(found, how)
-            sizes = np.diff(bounds)
-            columns = [part.column("node"), _lists(elements.view(np.int64), sizes)]
-            names = ["node", "shingles"]
-            if how.weight != "set":
-                columns.append(_lists(weights, sizes))
-                names.append("weights")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            n = weights.astype(np.int64)
+            owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            sizes = np.bincount(owner, weights=weights, minlength=len(bounds) - 1)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            each = np.where(
+                nth == 0, np.repeat(elements, n), mix(np.repeat(elements, n) + nth.astype(_U) * _SIDE)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), _lists(each.view(np.int64), sizes.astype(np.int64))],
+                ["node", "shingles"],
+            )
 
     return sets
 
 
-def _overlap(how: NearDup) -> str:
-    if how.weight == "set":
-        return "cast(size(array_intersect(x.shingles, y.shingles)) as double)"
-    # Both lists are in order of shingle, so equal shingles meet in maps of either side.
-    return (
-        "aggregate(array_intersect(x.shingles, y.shingles), 0D, (s, h) -> s + least("
-        "element_at(x.weights, cast(array_position(x.shingles, h) as int)),"
-        "element_at(y.weights, cast(array_position(y.shingles, h) as int))))"
-    )
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """The pairs (a, b) whose exact similarity is high enough."""
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.struct("*").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.struct("*").alias("y")), "b")
-        .withColumn("common", F.expr(_overlap(how)))
+        .withColumn("common", F.size(F.array_intersect("x.shingles", "y.shingles")))
     )
     total = F.col("x.mass") + F.col("y.mass") - F.col("common")
     return both.where(F.col("common") >= how.similarity * total - 1e-9).select("a", "b")
@@ -216,6 +210,50 @@ def _alike(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     )
 
 
+def _missed(nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (a, b) in different parts of `nodes` (node, part) that may be similar: all that are.
+
+    Prefix filtering: elements are ordered by how many of the sets have them, rare ones
+    first. Of two sets that are similar enough, the larger has one of the smaller's first
+    few elements among its own first few. Elements that one set alone has come first and
+    match nothing, so an edited copy is compared with those texts only that share its edits.
+    """
+    t = how.similarity
+    own = sets.join(nodes, "node")
+    terms = own.select("node", F.explode("shingles").alias("term"))
+    often = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut_lineage(terms.join(often, "term"))
+    lone = shared.groupBy("node").agg(F.count(F.lit(1)).alias("some"))
+    facts = own.select("node", "part", "mass").join(lone, "node")
+    alone = F.col("mass") - F.col("some")
+    # Common elements needed: of a set with any similar one, and with one at least as large.
+    facts = facts.select(
+        "node",
+        "part",
+        "mass",
+        (F.col("mass") - F.ceil(t * F.col("mass") - 1e-9) + 1 - alone).alias("wide"),
+        (F.col("mass") - F.ceil(2 * t / (1 + t) * F.col("mass") - 1e-9) + 1 - alone).alias("narrow"),
+    )
+    order = Window.partitionBy("node").orderBy("n", "term")
+    first = cut_lineage(
+        shared.join(facts.where("wide > 0"), "node")
+        .withColumn("rank", F.row_number().over(order))
+        .where("rank <= wide")
+        .select("term", "node", "part", "mass", (F.col("rank") <= F.col("narrow")).alias("near"))
+    )
+    small = first.where("near").select(
+        "term", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("mass").alias("ma")
+    )
+    large = first.select(
+        "term", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("mass").alias("mb")
+    )
+    fits = (F.col("pa") != F.col("pb")) & F.col("ma").between(
+        t * F.col("mb") - 1e-9, F.col("mb")
+    )
+    met = small.withColumnRenamed("term", "of").join(large, (F.col("of") == F.col("term")) & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Id, text and the hash that stands for the text; null for a text without words."""
     return docs.select(
@@ -238,17 +276,16 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
         )
     )
     entries = texts.select("node", F.explode("keys").alias("key"))
-    # Four orders of the texts, so that the buckets of one text have different first members.
-    order = F.xxhash64("node", F.pmod("key", F.lit(4)))
-    shared = (
-        entries.groupBy("key")
-        .agg(F.min_by("node", order).alias("lead"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    members = cut_lineage(entries.join(shared, "key"))
-
-    stars = members.where("node != lead").select(
-        F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut_lineage(entries.join(shared, "key"))
+    # Of a family of copies the original meets most others, so it leads its buckets.
+    often = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = cut_lineage(met.join(often, "node"))
+    leads = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+    stars = (
+        members.join(leads, "key")
+        .where("node != lead")
+        .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     )
     pairs = cut_lineage(_alike(stars.distinct(), texts, how))
     wanted = members.select("node").distinct().join(texts.select("node", "doc"), "node")
@@ -258,51 +295,20 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
         .where(F.col("doc").eqNullSafe(F.col("least")))
         .select("node", "text")
     )
-    fields = "node bigint, shingles array<bigint>"
-    fields += "" if how.weight == "set" else ", weights array<double>"
-    sets = source.mapInArrow(_sets(how), fields).dropDuplicates(["node"])
-    sets = cut_lineage(sets.join(texts.select("node", "mass"), "node"))
+    sets = source.mapInArrow(_sets(how), "node bigint, shingles array<bigint>")
+    sets = cut_lineage(sets.dropDuplicates(["node"]).join(texts.select("node", "mass"), "node"))
 
     links = cut_lineage(_linked(pairs, sets, how))
     parts = cut_lineage(members.select(graph.NODE).distinct().withColumn("part", F.col("node")))
     parts = graph.merge(parts, links)
-    found, done, low = [links], pairs, 0
-    most = how.spread * members.count()
-    while True:
-        # Buckets whose members are not all connected: further members against the rest.
-        held = members.where(F.col("n") > low + 1).join(parts, "node")
-        mixed = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"))
-        mixed = mixed.where("p != q").select("key")
-        ranked = held.join(mixed, "key").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        )
-        ranked = cut_lineage(ranked.where(F.col("rank") > low))
-        steps = [4**i for i in range(1, 16)]
-        upto = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-        costs = upto.agg(*(F.sum(F.col("m") * F.least("m", F.lit(k))) for k in steps)).first()
-        if costs[0] is None:
-            break
-        width = max([k for k, cost in zip(steps, costs) if cost <= most], default=steps[0])
-        leaders = ranked.where(F.col("rank") <= low + width).select(
-            "key", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("rank").alias("ra")
-        )
-        pairs = (
-            leaders.join(ranked, "key")
-            .where("rank > ra and pa != part")
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            .distinct()
-            .join(done, ["a", "b"], "left_anti")
-        )
-        pairs = cut_lineage(_alike(pairs, texts, how))
-        links = cut_lineage(_linked(pairs, sets, how))
-        parts = graph.merge(parts, links)
-        found.append(links)
-        done = done.unionByName(pairs)
-        low += width
-
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+    # Buckets whose members are not all connected by now.
+    held = members.join(parts, "node")
+    mixed = held.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    mixed = held.join(mixed.where("p != q").select("key"), "key").select("node", "part").distinct()
+    rest = _missed(cut_lineage(mixed), sets, how).join(pairs, ["a", "b"], "left_anti")
+    more = cut_lineage(_linked(rest, sets, how))
+    parts = graph.merge(parts, more)
+    every = links.unionByName(more)
     degree = (
         every.select(F.explode(F.array("a", "b")).alias("node"))
         .groupBy("node")

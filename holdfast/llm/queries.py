@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.chat import formatted, read_back
 from holdfast.llm.decontaminate import contaminated
+from holdfast.llm.licenses import license_scan
 from holdfast.llm.lm import scores
 from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
@@ -23,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses that its paragraphs state."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its secrets: those of the patterns and those of the network."""
     docs = _table(spark, sf_dir, "documents")
@@ -103,6 +109,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
