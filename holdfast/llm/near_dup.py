@@ -28,6 +28,9 @@ from holdfast.llm import graph
 from holdfast.llm.text import WORD, buffers, mix, runs, shingles, slices, words
 from holdfast.session import cut_lineage
 
+# Bits of the sketch that tells sets with many differences apart.
+ODD_BITS = 2048
+
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _SLOT = _U(0xC2B2AE3D27D4EB4F)
@@ -167,7 +170,10 @@ def _sign(how: NearDup):
 
 
 def _sets(how: NearDup):
-    """Elements for the exact check: a shingle with weight n stands for n elements."""
+    """Elements for the exact check: a shingle with weight n stands for n elements.
+
+    `odd` has a bit per hash value, set if an odd number of elements has it.
+    """
 
     def sets(batches):
         for part in slices(batches, "text"):
@@ -180,9 +186,18 @@ def _sets(how: NearDup):
             each = np.where(
                 nth == 0, np.repeat(elements, n), mix(np.repeat(elements, n) + nth.astype(_U) * _SIDE)
             )
+            sizes = sizes.astype(np.int64)
+            who = np.repeat(np.arange(len(sizes)), sizes)
+            odd = np.zeros((len(sizes), ODD_BITS), np.uint8)
+            np.bitwise_xor.at(odd, (who, (mix(each ^ _SLOT) % _U(ODD_BITS)).astype(np.int64)), 1)
+            packed = np.packbits(odd, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column("node"), _lists(each.view(np.int64), sizes.astype(np.int64))],
-                ["node", "shingles"],
+                [
+                    part.column("node"),
+                    _lists(each.view(np.int64), sizes),
+                    _lists(packed.ravel(), np.full(len(sizes), packed.shape[1])),
+                ],
+                ["node", "shingles", "odd"],
             )
 
     return sets
@@ -190,22 +205,36 @@ def _sets(how: NearDup):
 
 def _linked(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """The pairs (a, b) whose exact similarity is high enough."""
+    own = F.struct("mass", "shingles")
     both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.struct("*").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.struct("*").alias("y")), "b")
+        pairs.join(sets.select(F.col("node").alias("a"), own.alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), own.alias("y")), "b")
         .withColumn("common", F.size(F.array_intersect("x.shingles", "y.shingles")))
     )
     total = F.col("x.mass") + F.col("y.mass") - F.col("common")
     return both.where(F.col("common") >= how.similarity * total - 1e-9).select("a", "b")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """Without the pairs whose masses alone rule out the similarity."""
-    mass = texts.select("node", "mass")
+def _may_match(how: NearDup):
+    """Whether sets with masses `ma`, `mb` and sketches `oa`, `ob` can be similar enough.
+
+    Sets of similarity t differ in (1 - t) / (1 + t) of their summed masses at most, and their
+    sketches differ in no more bits than the sets in elements: no similar pair is lost.
+    """
+    t = how.similarity
+    differ = F.expr("aggregate(zip_with(oa, ob, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    return (F.least("ma", "mb") >= t * F.greatest("ma", "mb") - 1e-9) & (
+        differ <= (1 - t) / (1 + t) * (F.col("ma") + F.col("mb")) + 1e-9
+    )
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Without the pairs whose masses or sketches rule out the similarity."""
+    facts = sets.select("node", "mass", "odd")
     return (
-        pairs.join(mass.withColumnsRenamed({"node": "a", "mass": "ma"}), "a")
-        .join(mass.withColumnsRenamed({"node": "b", "mass": "mb"}), "b")
-        .where(F.least("ma", "mb") >= how.similarity * F.greatest("ma", "mb") - 1e-9)
+        pairs.join(facts.withColumnsRenamed({"node": "a", "mass": "ma", "odd": "oa"}), "a")
+        .join(facts.withColumnsRenamed({"node": "b", "mass": "mb", "odd": "ob"}), "b")
+        .where(_may_match(how))
         .select("a", "b")
     )
 
@@ -224,13 +253,14 @@ def _missed(nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     often = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut_lineage(terms.join(often, "term"))
     lone = shared.groupBy("node").agg(F.count(F.lit(1)).alias("some"))
-    facts = own.select("node", "part", "mass").join(lone, "node")
+    facts = own.select("node", "part", "mass", "odd").join(lone, "node")
     alone = F.col("mass") - F.col("some")
     # Common elements needed: of a set with any similar one, and with one at least as large.
     facts = facts.select(
         "node",
         "part",
         "mass",
+        "odd",
         (F.col("mass") - F.ceil(t * F.col("mass") - 1e-9) + 1 - alone).alias("wide"),
         (F.col("mass") - F.ceil(2 * t / (1 + t) * F.col("mass") - 1e-9) + 1 - alone).alias("narrow"),
     )
@@ -239,17 +269,15 @@ def _missed(nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
         shared.join(facts.where("wide > 0"), "node")
         .withColumn("rank", F.row_number().over(order))
         .where("rank <= wide")
-        .select("term", "node", "part", "mass", (F.col("rank") <= F.col("narrow")).alias("near"))
-    )
-    small = first.where("near").select(
-        "term", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("mass").alias("ma")
-    )
-    large = first.select(
-        "term", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("mass").alias("mb")
-    )
-    fits = (F.col("pa") != F.col("pb")) & F.col("ma").between(
-        t * F.col("mb") - 1e-9, F.col("mb")
+        .select(
+            "term", "node", "part", "mass", "odd", (F.col("rank") <= F.col("narrow")).alias("near")
+        )
     )
+    names = {"node": "a", "part": "pa", "mass": "ma", "odd": "oa"}
+    small = first.where("near").drop("near").withColumnsRenamed(names)
+    names = {"node": "b", "part": "pb", "mass": "mb", "odd": "ob"}
+    large = first.drop("near").withColumnsRenamed(names)
+    fits = (F.col("pa") != F.col("pb")) & (F.col("ma") <= F.col("mb")) & _may_match(how)
     met = small.withColumnRenamed("term", "of").join(large, (F.col("of") == F.col("term")) & fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -287,7 +315,6 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
         .where("node != lead")
         .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     )
-    pairs = cut_lineage(_alike(stars.distinct(), texts, how))
     wanted = members.select("node").distinct().join(texts.select("node", "doc"), "node")
     # Of equal texts the row with the smallest id is read, repeated rows once.
     source = (
@@ -295,10 +322,12 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
         .where(F.col("doc").eqNullSafe(F.col("least")))
         .select("node", "text")
     )
-    sets = source.mapInArrow(_sets(how), "node bigint, shingles array<bigint>")
+    fields = "node bigint, shingles array<bigint>, odd array<bigint>"
+    sets = source.mapInArrow(_sets(how), fields)
     sets = cut_lineage(sets.dropDuplicates(["node"]).join(texts.select("node", "mass"), "node"))
 
-    links = cut_lineage(_linked(pairs, sets, how))
+    pairs = cut_lineage(stars.distinct())
+    links = cut_lineage(_linked(_alike(pairs, sets, how), sets, how))
     parts = cut_lineage(members.select(graph.NODE).distinct().withColumn("part", F.col("node")))
     parts = graph.merge(parts, links)
     # Buckets whose members are not all connected by now.

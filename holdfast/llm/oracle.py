@@ -77,7 +77,7 @@ suffixes1 AS (SELECT s.*, mean FROM suffixes0 s, whole),
 alike1 AS (
     SELECT least(greatest(coalesce(
         sum(n * power(good / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0),
-        0), 1e-4), 0.99) AS alike FROM suffixes1 WHERE n > 0
+        0), 1e-4), 0.5) AS alike FROM suffixes1 WHERE n > 0
 ),
 suffixes AS (
     SELECT s.*, (good + mean * (1 / alike - 1)) / (n + (1 / alike - 1)) AS posterior
@@ -89,7 +89,7 @@ domains1 AS (
 alike2 AS (
     SELECT least(greatest(coalesce(
         sum(n * power(good / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0),
-        0), 1e-4), 0.99) AS alike FROM domains1 WHERE n > 0
+        0), 1e-4), 0.5) AS alike FROM domains1 WHERE n > 0
 ),
 domains2 AS (
     SELECT d.*, (good + mean * (1 / alike - 1)) / (n + (1 / alike - 1)) AS posterior
@@ -99,7 +99,7 @@ hosts1 AS (SELECT h.*, d.posterior AS mean FROM hosts h JOIN domains2 d USING (d
 alike3 AS (
     SELECT least(greatest(coalesce(
         sum(n * power(good / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0),
-        0), 1e-4), 0.99) AS alike FROM hosts1 WHERE n > 0
+        0), 1e-4), 0.5) AS alike FROM hosts1 WHERE n > 0
 ),
 posteriors AS (
     SELECT host, good + mean * (1 / alike - 1) AS a,
@@ -108,7 +108,7 @@ posteriors AS (
 ),
 bounds AS (
     SELECT host,
-        a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound
+        a / (a + b) + 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound
     FROM posteriors
 ),
 rules(rule, verdict, rhost, rpath) AS (

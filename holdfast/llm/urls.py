@@ -42,7 +42,7 @@ class Reputation:
     """
 
     least: float = 0.5
-    z: float = 1.645
+    z: float = 2.0
     salts: int = 16
 
 
@@ -91,7 +91,8 @@ def _strength(groups: DataFrame) -> float:
     stray = F.col("n") * F.pow(F.col("good") / F.col("n") - F.col("mean"), F.lit(2.0)) / spread
     more, pairs = groups.where("n > 0").agg(F.sum(stray - 1), F.sum(F.col("n") - 1)).first()
     alike = (more / pairs) if pairs else 0.0
-    alike = min(max(alike, 1e-4), 0.99)
+    # A prior is worth one page at least, so that one label alone settles nothing.
+    alike = min(max(alike, 1e-4), 0.5)
     return 1 / alike - 1
 
 
