@@ -43,9 +43,14 @@ def cents(c: Column) -> Column:
     return F.rint(c * 100).cast("bigint")
 
 
-def money_sum(c: Column) -> Column:
-    """Sum of whole-cent amounts, added as integers: exact, and the same for every partitioning."""
-    return F.sum(cents(c)) / F.lit(100.0)
+def money_sum(c: Column, places: int = 6) -> Column:
+    """Sum of amounts as they are, to `places` decimals, the same for every partitioning.
+
+    NaN counts as missing. The sum has 38 digits; what is beyond them is an error under ANSI
+    rules and null without, never a wrapped number.
+    """
+    amount = nan_to_null(c.cast("double")).cast(f"decimal(38,{places})")
+    return F.sum(amount).cast("double")
 
 
 def money_text(c: Column) -> Column:

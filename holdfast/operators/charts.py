@@ -34,9 +34,10 @@ def _ends(values: DataFrame) -> Column:
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, lo, hi, n): equal bins, closed on the left, the last one on both sides.
 
-    Empty bins are listed. A row belongs to the bin whose printed edges enclose it.
+    Empty bins are listed. A row belongs to the bin whose printed edges enclose it. Infinite
+    values have no place on the axis and are left out, as missing ones are.
     """
-    values = _known(df, column)
+    values = _known(df, column).where(F.abs("x") < float("inf"))
     ends = _ends(values)
     low, high = F.col("ends.low"), F.col("ends.high")
 

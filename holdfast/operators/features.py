@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.hashing import hash_uniform
@@ -18,32 +18,16 @@ FEATURES = [*MEASURES, *(f"{c}_index" for c in CATEGORIES)]
 SEED = 42
 
 
-def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, label, n, index): labels by falling frequency, ties in alphabetical order.
-
-    All columns are counted in one scan; the window sees one row per distinct label.
-    `ranked_labels` is the way for columns that are hardly categories any more.
-    """
-    rank = Window.partitionBy("column").orderBy(F.desc("n"), "label")
-    return (
-        df.unpivot([], list(columns), "column", "label")
-        .where(F.col("label").isNotNull())
-        .groupBy("column", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("index", (F.row_number().over(rank) - 1).cast("double"))
-    )
-
-
 def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, labels): distinct values of each column."""
     tall = df.unpivot([], list(columns), "column", "label").distinct()
     return tall.groupBy("column").agg(F.count("label").alias("labels"))
 
 
-def ranked_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows of `category_labels` for columns with very many labels.
+def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, label, n, index): labels by falling frequency, ties in alphabetical order.
 
-    The rank is a running count over ranges of (frequency, label), so no task sees all
+    All columns are counted in one scan. The rank is a running count over ranges of (frequency, label), so no task sees all
     labels of a column.
     """
     counts = (
@@ -72,23 +56,28 @@ def with_joined_index(
     row in `frequent`, so the shuffled join that finds those meets no hot label. Rows that
     need no second look are spread by the hash of their key.
     """
-    name = f"{column}_index"
-    labels = ranked_labels(df, [column]).select("label", "index")
+    labels = category_labels(df, [column]).select("label", "index")
     extra = labels.agg(F.count(F.lit(1)).cast("double")).scalar()
     top = labels.where(F.col("index") < frequent).select(
-        F.col("label").alias(column), F.col("index").alias("top_index")
+        F.col("label").alias("value"), F.col("index").alias("top_index")
     )
     rest = labels.where(F.col("index") >= frequent).select(
-        F.lit(True).alias("open"), F.col("label").alias("probe"), F.col("index").alias(name)
+        F.lit(True).alias("open"), F.col("label").alias("probe"), F.col("index").alias("rest_index")
+    )
+    # The caller's columns stay in one struct, so that no helper's name can meet theirs.
+    packed = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+        F.col(column).alias("value"),
+        F.xxhash64(key).cast("string").alias("spread"),
     )
-    is_open = F.col("top_index").isNull() & F.col(column).isNotNull()
-    spread = F.xxhash64(key).cast("string")
+    is_open = F.col("top_index").isNull() & F.col("value").isNotNull()
+    index = F.coalesce("top_index", "rest_index", extra).alias(f"{column}_index")
     return (
-        df.join(F.broadcast(top), column, "left")
+        packed.join(F.broadcast(top), "value", "left")
         .withColumn("open", is_open)
-        .withColumn("probe", F.when(F.col("open"), F.col(column)).otherwise(spread))
+        .withColumn("probe", F.when(F.col("open"), F.col("value")).otherwise(F.col("spread")))
         .join(rest, ["open", "probe"], "left")
-        .select(*df.columns, F.coalesce("top_index", name, extra).alias(name))
+        .select("row.*", index)
     )
 
 

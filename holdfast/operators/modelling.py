@@ -9,7 +9,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer
+from pyspark.ml.feature import Imputer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,28 @@ def boosted(rounds: int = 10) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, seed=SEED)
 
 
+def scorable(df: DataFrame) -> DataFrame:
+    """Subscriber rows that a fitted model can score: a numeric TotalCharges, no row dropped."""
+    return df.withColumn("TotalCharges", to_double(F.col("TotalCharges")))
+
+
 def prepared(df: DataFrame) -> DataFrame:
-    """Subscriber rows ready for `stages`: a numeric TotalCharges and a 0/1 label."""
-    numeric = df.withColumn("TotalCharges", to_double(F.col("TotalCharges")))
-    return outcome_label(numeric)
+    """Rows to learn from: scorable, with a known outcome as a 0/1 label."""
+    return outcome_label(scorable(df))
+
+
+def sized(classifier: Estimator, preparation: PipelineModel) -> Estimator:
+    """Trees need a bin per category: the classifier with as many as the indexers found."""
+    if not classifier.hasParam("maxBins"):
+        return classifier
+    labels = [
+        len(found) + 1
+        for stage in preparation.stages
+        if isinstance(stage, StringIndexerModel)
+        for found in stage.labelsArray
+    ]
+    bins = max([classifier.getOrDefault("maxBins"), *labels])
+    return classifier.copy({classifier.getParam("maxBins"): bins})
 
 
 def stages(classifier: Estimator | None = None) -> Pipeline:
@@ -78,10 +96,8 @@ def train(
     rows = cut_lineage(prepared(df))
     classifier = logistic() if classifier is None else classifier
     learn, test = split(rows, share)
-    if fit_on == "train":
-        return stages(classifier).fit(learn), test
-    preparation = stages().fit(rows)
-    fitted = classifier.fit(preparation.transform(learn))
+    preparation = stages().fit(learn if fit_on == "train" else rows)
+    fitted = sized(classifier, preparation).fit(preparation.transform(learn))
     return PipelineModel(stages=[*preparation.stages, fitted]), test
 
 
@@ -103,9 +119,9 @@ def predictions(scored: DataFrame, *keep: str) -> DataFrame:
 
 
 def evaluator_auc(scored: DataFrame, raw: str = "rawPrediction", label: str = "label") -> DataFrame:
-    """One row: Spark's area under the ROC curve, from at most 1000 score bins."""
+    """One row: Spark's area under the ROC curve, from every distinct score."""
     evaluator = BinaryClassificationEvaluator(
-        rawPredictionCol=raw, labelCol=label, metricName="areaUnderROC"
+        rawPredictionCol=raw, labelCol=label, metricName="areaUnderROC", numBins=0
     )
     return scored.sparkSession.range(1).select(F.lit(evaluator.evaluate(scored)).alias("auc"))
 

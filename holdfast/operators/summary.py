@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import money_sum, money_text, nan_to_null, round_even
+from holdfast.functions.numbers import money_sum, money_text, round_even
+from holdfast.operators.ordered import exact_quantiles
 from holdfast.schema import BAND, BANDS, HIGH, KEY, LEFT, MEDIUM, TARGET
 
 
@@ -17,10 +18,11 @@ def band_table(spark: SparkSession, bands: list[str] = BANDS) -> DataFrame:
 
 def in_band_order(summary: DataFrame, bands: list[str] = BANDS) -> DataFrame:
     """One row per band in report order; an absent band keeps missing values."""
-    # `summary` has one row per band of `risk_band`, three at most.
+    # One row per band is left to broadcast, whatever else the column holds.
+    known = summary.where(F.col(BAND).isin(*bands))
     return (
         band_table(summary.sparkSession, bands)
-        .join(F.broadcast(summary), BAND, "left")
+        .join(F.broadcast(known), BAND, "left")
         .orderBy("position")
         .drop("position")
     )
@@ -86,10 +88,8 @@ def leaving_rate(df: DataFrame, category: str | None = None) -> DataFrame:
     )
 
 
-def buffered_median(df: DataFrame, column: str) -> DataFrame:
-    """One row: the interpolated median of a column with few distinct values, such as months.
-
-    The aggregate keeps one counter per distinct value; `ordered.exact_quantiles` is the
-    operator for columns whose distinct values grow with the table.
-    """
-    return df.agg(F.median(nan_to_null(F.col(column).cast("double"))).alias("median"))
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row: the interpolated median; no task holds the whole column."""
+    found = exact_quantiles(df, column, [0.5]).select(F.col("value").alias("median"))
+    # A column without values has no quantile, but still one row.
+    return found.agg(F.max("median").alias("median"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,13 @@ from holdfast.schema import KEY
 # The kinds of usage events.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
-# Words that mark a complaint text.
-COMPLAINT_WORDS = ["awful", "broken", "idiot", "problem", "slow", "stupid", "worthless"]
+# Words that mark a complaint text, per language.
+COMPLAINT_WORDS = {
+    "en": ["awful", "broken", "idiot", "problem", "slow", "stupid", "worthless"],
+    "es": ["horrible", "roto", "idiota", "problema", "lento", "estúpido", "inútil"],
+    "de": ["furchtbar", "kaputt", "idiot", "problem", "langsam", "dumm", "wertlos"],
+    "fr": ["affreux", "cassé", "idiot", "problème", "lent", "stupide", "inutile"],
+}
 
 
 def billing_by_customer(orders: DataFrame) -> DataFrame:
@@ -157,19 +162,34 @@ def revenue_per_user(df: DataFrame, segment: str) -> DataFrame:
 
 
 def complaint_features(
-    documents: DataFrame, words: Sequence[str] = COMPLAINT_WORDS
+    documents: DataFrame, words: Mapping[str, Sequence[str]] = COMPLAINT_WORDS
 ) -> DataFrame:
-    """Per text: tokens, complaint words, and their share. Whole texts, no prefixes."""
-    tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: t != "")
-    hits = F.filter(F.col("tokens"), lambda t: t.isin(*words))
-    return (
-        documents.select("doc_id", "source", tokens.alias("tokens"))
-        .select(
-            "doc_id",
-            "source",
-            F.size("tokens").alias("n_tokens"),
-            F.size(hits).alias("n_complaint_words"),
-            F.size(F.array_distinct(hits)).alias("n_distinct_words"),
-        )
-        .withColumn("word_share", F.try_divide("n_complaint_words", "n_tokens"))
-    )
+    """Per text: words, complaint words of its language, and their share.
+
+    Words are runs of letters and digits of any script. A language that is not listed has
+    no complaint words. Whole texts, no prefixes, and no list of words is built.
+    """
+    text = F.lower("text")
+
+    def of_language(count: Callable[[Sequence[str]], Column]) -> Column:
+        case = F.lit(0)
+        for lang, known in words.items():
+            case = F.when(F.col("lang") == lang, count(known)).otherwise(case)
+        return case
+
+    def one_of(known: Sequence[str]) -> str:
+        return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(known)})(?![\p{{L}}\p{{N}}])"
+
+    def hits(known: Sequence[str]) -> Column:
+        return F.regexp_count(text, F.lit(one_of(known)))
+
+    def kinds(known: Sequence[str]) -> Column:
+        return sum((text.rlike(one_of([w])).cast("int") for w in known), F.lit(0))
+
+    return documents.select(
+        "doc_id",
+        "source",
+        F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("n_tokens"),
+        of_language(hits).alias("n_complaint_words"),
+        of_language(kinds).alias("n_distinct_words"),
+    ).withColumn("word_share", F.try_divide("n_complaint_words", "n_tokens"))

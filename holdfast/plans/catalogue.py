@@ -22,7 +22,7 @@ from holdfast.schema import (
     TARGET,
     text_columns,
 )
-from holdfast.session import fresh_dir
+from holdfast.session import cut_lineage, fresh_dir
 from holdfast.sources.readers import read_csv, read_csv_tokens, table
 from holdfast.sources.sinks import read_day, write_csv, write_result
 from holdfast.sources.subscribers import subscribers
@@ -47,6 +47,17 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_risk(rule_score(cleaned(spark, sf_dir)))
 
 
+def with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscribers of whom every 50th has no payment method and every 70th no charges."""
+    number = F.col(KEY).cast("bigint")
+    return subscribers(spark, sf_dir).withColumns(
+        {
+            "PaymentMethod": F.when(number % 50 != 0, F.col("PaymentMethod")),
+            "MonthlyCharges": F.when(number % 70 != 0, F.col("MonthlyCharges")),
+        }
+    )
+
+
 def leavers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(spark, sf_dir).where(F.col(TARGET) == LEFT)
 
@@ -70,9 +81,15 @@ def csv_scan_declared(spark, sf_dir):
     return read_csv(spark, path)
 
 
+@report
+def csv_scan_reordered(spark, sf_dir):
+    rows = subscribers(spark, sf_dir)
+    return read_csv(spark, write_csv(rows.select(*rows.columns[::-1]), fresh_dir(spark, "csv")))
+
+
 @report
 def csv_scan_tokens(spark, sf_dir):
-    path = write_csv(subscribers(spark, sf_dir), fresh_dir(spark, "csv"), missing="n/a")
+    path = write_csv(with_gaps(spark, sf_dir), fresh_dir(spark, "csv"), missing="n/a")
     return read_csv_tokens(spark, path)
 
 
@@ -97,7 +114,8 @@ def schema_listing(spark, sf_dir):
 
 @report
 def profile_all(spark, sf_dir):
-    return profiling.describe_all(subscribers(spark, sf_dir), digits=4)
+    # Counted as text and ranked as numbers: written once.
+    return profiling.describe_all(cut_lineage(subscribers(spark, sf_dir)), digits=4)
 
 
 @report
@@ -107,7 +125,7 @@ def profile_numeric(spark, sf_dir):
 
 @report
 def missing_counts(spark, sf_dir):
-    return profiling.missing_counts(subscribers(spark, sf_dir))
+    return profiling.missing_counts(with_gaps(spark, sf_dir))
 
 
 @report
@@ -149,7 +167,7 @@ def clean_median_approx(spark, sf_dir):
 
 @report
 def median_exact(spark, sf_dir):
-    return summary.buffered_median(leavers(spark, sf_dir), "tenure")
+    return summary.exact_median(leavers(spark, sf_dir), "tenure")
 
 
 @report
@@ -184,6 +202,15 @@ def incomplete_rows(spark, sf_dir):
     return cleaning.incomplete_rows(cast, ["SeniorCitizen", "tenure", "TotalCharges"])
 
 
+@report
+def complete_rows(spark, sf_dir):
+    cast = with_gaps(spark, sf_dir).withColumn(
+        "TotalCharges", cleaning.to_double(F.col("TotalCharges"))
+    )
+    kept = cleaning.drop_incomplete(cast, ["tenure", "MonthlyCharges", "TotalCharges"])
+    return kept.select(KEY, "tenure", "MonthlyCharges", "TotalCharges")
+
+
 # --- scores, bands, revenue --------------------------------------------------
 
 
@@ -284,7 +311,7 @@ def score_box_by_contract(spark, sf_dir):
 
 @report
 def chart_reference_lines(spark, sf_dir):
-    median = summary.buffered_median(leavers(spark, sf_dir), "tenure")
+    median = summary.exact_median(leavers(spark, sf_dir), "tenure")
     return charts.reference_lines(
         spark, {"median tenure of leavers": median, "high risk": HIGH_ABOVE}
     )
@@ -321,25 +348,26 @@ def category_labels(spark, sf_dir):
 
 @report
 def category_labels_ranked(spark, sf_dir):
-    return features.ranked_labels(cleaned(spark, sf_dir), [*CATEGORIES, TARGET])
+    return features.category_labels(cleaned(spark, sf_dir), [*CATEGORIES, TARGET])
 
 
 @report
 def payment_index_joined(spark, sf_dir):
-    indexed = features.with_joined_index(cleaned(spark, sf_dir), "PaymentMethod")
+    indexed = features.with_joined_index(with_gaps(spark, sf_dir), "PaymentMethod")
     return indexed.select(KEY, "PaymentMethod", "PaymentMethod_index")
 
 
 @report
 def category_index(spark, sf_dir):
     names = [*CATEGORIES, TARGET]
-    indexed = features.with_category_index(cleaned(spark, sf_dir), names)
+    indexed = features.with_category_index(cut_lineage(cleaned(spark, sf_dir)), names)
     return indexed.select(KEY, *(f"{c}_index" for c in names))
 
 
 @report
 def assembled_features(spark, sf_dir):
-    filled = cleaning.clean_median(subscribers(spark, sf_dir), exact=True)
+    # Median, index and vector all read the rows: written once.
+    filled = cleaning.clean_median(cut_lineage(subscribers(spark, sf_dir)), exact=True)
     indexed = features.with_category_index(filled, CATEGORIES)
     return features.unpacked(features.assembler().transform(indexed))
 
@@ -371,10 +399,22 @@ def model_scores(spark, sf_dir):
 def model_risk_bands(spark, sf_dir):
     rows = subscribers(spark, sf_dir)
     model, _ = modelling.train(rows)
-    banded = with_risk(modelling.model_score(modelling.prepared(rows), model), strict=True)
+    banded = with_risk(modelling.model_score(modelling.scorable(rows), model), strict=True)
     return summary.band_summary(banded)
 
 
+@report
+def model_scored_customers(spark, sf_dir):
+    """Every customer is scored, also those whose outcome is not known yet."""
+    number = F.col(KEY).cast("bigint")
+    rows = subscribers(spark, sf_dir).withColumn(TARGET, F.when(number % 10 != 0, F.col(TARGET)))
+    model, _ = modelling.train(rows)
+    score = F.col(SCORE)
+    return modelling.model_score(modelling.scorable(rows), model).select(
+        KEY, TARGET, score.between(0, 1).cast("int").alias("is_scored")
+    )
+
+
 @report
 def model_auc(spark, sf_dir):
     model, test = modelling.train(subscribers(spark, sf_dir))
@@ -411,7 +451,8 @@ def auc_exact(spark, sf_dir):
 
 @report
 def auc_evaluator(spark, sf_dir):
-    return modelling.evaluator_auc(labelled_rule_scores(spark, sf_dir), raw=SCORE)
+    auc = modelling.evaluator_auc(labelled_rule_scores(spark, sf_dir), raw=SCORE)
+    return rounded(auc, "auc", digits=10)
 
 
 @report

@@ -15,11 +15,14 @@ def write_result(df: DataFrame, path: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str, missing: str = "") -> str:
-    """CSV with a header; blanks in text survive, nulls are spelled as `missing`."""
+    """CSV with a header; blanks, quotes, line breaks and empty text survive, nulls are
+    spelled as `missing`."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("nullValue", missing)
+        .option("emptyValue", '""')
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)

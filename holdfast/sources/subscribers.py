@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,17 @@ DRAWN = [
     "PaperlessBilling",
 ]
 
+# Order status and priority, in the order of their codes.
+STATUSES = ["F", "O", "P"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
 INACTIVE_DAYS = 365
 
+# Microseconds of an order's date and time, with or without time zone.
+MICROS = """date_diff(cast(o_orderdate as date), date'1970-01-01') * 86400000000
+    + (hour(o_orderdate) * 3600 + minute(o_orderdate) * 60) * 1000000L
+    + cast(extract(second from o_orderdate) * 1000000 as bigint)"""
+
 
 def _lookup(column: str, values: dict[str, str]) -> str:
     cases = " ".join(f"when '{k}' then '{v}'" for k, v in values.items())
@@ -74,18 +85,42 @@ def snapshot(orders: DataFrame) -> Column:
 def order_history(orders: DataFrame) -> DataFrame:
     """One row per customer with orders: span, total in cents and traits of the last order.
 
-    A customer with very many orders is reduced before the shuffle, in the map tasks.
+    A customer with very many orders is reduced before the shuffle, in the map tasks. The
+    last order is the largest of (date, key, codes) as one number: a buffer of fixed width,
+    so Spark hashes customers instead of sorting the table by them.
     """
-    latest = F.struct("o_orderdate", "o_orderkey")
-    return orders.groupBy("o_custkey").agg(
+    status = F.coalesce(
+        F.array_position(F.array(*map(F.lit, STATUSES)), F.col("o_orderstatus")), F.lit(0)
+    )
+    priority = F.coalesce(
+        F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("o_orderpriority")), F.lit(0)
+    )
+    code = (status * 10 + priority).cast("decimal(2,0)")
+    place = F.expr(MICROS).cast("decimal(17,0)") * F.lit(Decimal(10) ** 19)
+    latest = place + F.coalesce("o_orderkey", F.lit(0)).cast("decimal(19,0)")
+    packed = (latest.cast("decimal(36,0)") * F.lit(Decimal(100)) + code).cast("decimal(38,0)")
+    history = orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
         F.sum(cents(F.col("o_totalprice"))).alias("total"),
-        F.max_by("o_orderstatus", latest).alias("last_status"),
-        F.max_by("o_orderpriority", latest).alias("last_priority"),
+        F.max(packed).alias("last"),
+    )
+    last = (F.col("last") % 100).cast("int")
+    return history.select(
+        "o_custkey",
+        "first_order",
+        "last_order",
+        "total",
+        _label(STATUSES, F.floor(last / 10).cast("int")).alias("last_status"),
+        _label(PRIORITIES, last % 10).alias("last_priority"),
     )
 
 
+def _label(labels: list[str], code: Column) -> Column:
+    """The label with this code, counted from 1; null for code 0."""
+    return F.when(code > 0, F.element_at(F.array(*map(F.lit, labels)), code))
+
+
 # Whole months from the first to the last order. Every 97th customer is made brand-new,
 # so that blanks exist at every size.
 TENURE = """cast(if(last_order is null or c_custkey % 97 = 0, 0,

@@ -55,6 +55,7 @@ TYPES = {
     "int": "INTEGER",
     "bigint": "BIGINT",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
     "date": "DATE",
 }
 

@@ -75,6 +75,19 @@ def test_money_text(spark):
 def test_money_adds_up_exactly(spark):
     df = column(spark, [0.1] * 10 + [0.2], "double")
     assert values(df.agg(money_sum(F.col("x")))) == [(1.2,)]
+    small = column(spark, [0.004] * 1000 + [NAN, None], "double")
+    assert values(small.agg(money_sum(F.col("x")))) == [(4.0,)]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_money_never_wraps(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = column(spark, [9e16, 9e16, NAN], "double")
+        assert values(df.agg(money_sum(F.col("x")))) == [(1.8e17,)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_mask_has_no_nulls(spark):

@@ -1,18 +1,17 @@
-"""Scans, sinks, daily layers and incremental ingestion."""
+"""Scans, sinks, written tables and daily layers."""
 
-import datetime
 from pathlib import Path
 
+import pytest
 from conftest import MEDIUM, values
 from pyspark.sql import functions as F
 
 from holdfast.plans.daily import LAYERS, run_day
 from holdfast.schema import SCORE, SUBSCRIBER
-from holdfast.session import cut_lineage, fresh_dir, shared_root
+from holdfast.session import cut_lineage, fresh_dir, shared_root, written_tables
 from holdfast.sources.readers import read_csv, read_csv_tokens
 from holdfast.sources.sinks import read_day, write_csv, write_day, write_result
 from holdfast.sources.subscribers import subscribers
-from holdfast.streaming.daily import ingest_new_files
 
 
 def test_shared_folder_is_the_one_the_session_names(spark, people):
@@ -33,6 +32,44 @@ def test_csv_round_trip_declared_and_inferred(spark, people):
     assert kinds["tenure"] == "int"
 
 
+def test_columns_are_taken_by_name(spark, people):
+    rows = people.select("Churn", "tenure", F.lit("x").alias("extra"), *people.columns[:17], "MonthlyCharges", "TotalCharges")
+    got = read_csv(spark, write_csv(rows, fresh_dir(spark, "csv")))
+    assert got.columns == people.columns
+    assert sorted(map(str, values(got))) == sorted(map(str, values(people)))
+
+
+def test_a_missing_column_is_an_error(spark, people):
+    path = write_csv(people.drop("tenure"), fresh_dir(spark, "csv"))
+    with pytest.raises(ValueError, match="tenure"):
+        read_csv(spark, path)
+
+
+def test_text_survives_as_it_is(spark):
+    texts = ['Say "e", check', "two\nlines", "", None, " blank ", ",", '"', "a\\b", "\\"]
+    df = spark.createDataFrame(list(enumerate(texts)), "customerID int, gender string")
+    path = write_csv(df.repartition(1), fresh_dir(spark, "csv"))
+    got = read_csv(spark, path, df.schema, multi_line=True)
+    assert sorted(values(got)) == list(enumerate(texts))
+    tokens = read_csv_tokens(spark, path, df.schema)
+    assert sorted(values(tokens)) == [(i, t or None) for i, t in enumerate(texts)]
+
+
+def test_written_tables_go_with_their_scope(spark, people):
+    with written_tables(spark) as folder:
+        kept = cut_lineage(people.limit(5))
+        assert kept.count() == 5 and all(folder in f for f in kept.inputFiles())
+        assert Path(folder).exists()
+    assert not Path(folder).exists()
+    assert folder not in fresh_dir(spark, "x")
+
+
+def test_the_last_order_needs_no_sort(spark):
+    plan = subscribers(spark, MEDIUM).select("Contract", "PaymentMethod")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_missing_tokens(spark):
     path = fresh_dir(spark, "csv")
     Path(path).mkdir()
@@ -78,19 +115,6 @@ def test_daily_run_can_be_repeated(spark, people):
     assert read_day(spark, again["scored"], "2024-05-02").where(F.col(SCORE).isNull()).count() == 0
 
 
-def test_ingestion_takes_every_file_once(spark):
-    source, layer, progress = (fresh_dir(spark, n) for n in ("in", "layer", "progress"))
-    day = datetime.datetime(2024, 1, 1)
-    rows = spark.range(10).select("id", F.lit(day).alias("ts"))
-    rows.write.parquet(source)
-    args = (spark, source, layer, progress, rows.schema, "ts")
-    assert ingest_new_files(*args) == 10
-    assert ingest_new_files(*args) == 0
-    rows.where("id < 4").write.mode("append").parquet(source)
-    assert ingest_new_files(*args) == 4
-    assert read_day(spark, layer, "2024-01-01").count() == 14
-
-
 def test_scans_read_only_what_a_report_needs(spark):
     plan = subscribers(spark, MEDIUM).select("Contract")._jdf.queryExecution().toString()
     assert "c_name" not in plan.split("Physical Plan")[1]

@@ -124,7 +124,7 @@ def test_model_beats_chance_and_auc_forms_agree(trained):
     (exact,) = values(modelling.exact_auc(scored, SCORE))[0]
     (binned,) = values(modelling.evaluator_auc(scored))[0]
     assert 0.7 < exact <= 1.0
-    assert binned == pytest.approx(exact, abs=0.01)
+    assert binned == pytest.approx(exact, abs=1e-9)
 
 
 def test_prediction_is_strict_at_one_half(trained):
@@ -169,6 +169,31 @@ def test_fit_on_train_leaves_test_rows_unseen(spark):
     assert test.count() + learn.count() == rows.count()
 
 
+def test_customers_without_outcome_are_scored(spark):
+    rows = subscribers(spark, MEDIUM).limit(150)
+    open_ones = rows.withColumn(TARGET, F.when(F.col(KEY).cast("int") % 9 != 0, F.col(TARGET)))
+    model, _ = modelling.train(open_ones)
+    scored = modelling.model_score(modelling.scorable(open_ones), model)
+    assert scored.where(F.col(SCORE).between(0, 1)).count() == 150
+
+
+def test_trees_take_more_labels_than_their_default_bins(spark):
+    rows = subscribers(spark, MEDIUM).withColumn(
+        "PaymentMethod", F.concat(F.lit("m"), F.col(KEY).cast("int") % 40)
+    )
+    for classifier in (modelling.forest(2), modelling.boosted(1)):
+        model, test = modelling.train(rows, classifier)
+        assert modelling.model_score(test, model).count() == test.count()
+
+
+def test_joined_index_keeps_columns_with_any_name(spark):
+    df = spark.createDataFrame([(7, "a", "k1", "p"), (8, None, "k2", "q")], f"open int, c string, {KEY} string, probe string")
+    got = features.with_joined_index(df.withColumns({"top_index": F.lit(3), "value": F.lit(4), "row": F.lit(5)}), "c", 0)
+    assert sorted(values(got, "open", "probe", "top_index", "value", "row", "c_index")) == [
+        (7, "p", 3, 4, 5, 0.0), (8, "q", 3, 4, 5, 1.0),
+    ]
+
+
 @pytest.mark.parametrize("kind", ["forest", "boosted"])
 def test_trees_beat_chance(spark, kind):
     classifier = modelling.forest(5) if kind == "forest" else modelling.boosted(3)

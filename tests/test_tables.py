@@ -246,8 +246,8 @@ def test_look_ahead_sees_nothing_beyond_the_cutoff(spark):
 
 
 def test_complaint_words(spark):
-    df = spark.createDataFrame([(1, "s", "Slow, SLOW and broken! ok"), (2, "s", "...")],
-                               "doc_id long, source string, text string")
+    df = spark.createDataFrame([(1, "s", "en", "Slow, SLOW and broken! ok"), (2, "s", "en", "...")],
+                               "doc_id long, source string, lang string, text string")
     got = sorted(values(usage.complaint_features(df)))
     assert got == [(1, "s", 5, 3, 2, 0.6), (2, "s", 0, 0, 0, None)]
 
@@ -258,3 +258,15 @@ def test_parse_number_agrees_with_pandas(spark):
     got = [r.y for r in df.select(parse_number(F.col("x")).alias("y")).collect()]
     expected = pd.to_numeric(pd.Series(texts), errors="coerce")
     assert got == [None if pd.isna(v) else v for v in expected]
+
+
+def test_histogram_leaves_out_infinite_values(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (float("inf"),), (float("nan"),)], "x double")
+    assert [r.n for r in charts.histogram(df, "x", 3).collect()] == [1, 1, 1]
+
+
+def test_words_of_every_language_count(spark):
+    rows = [(1, "s", "es", "Qué problema, está ROTO; problema"), (2, "s", "en", "slowly slow é1"), (3, "s", "xx", "slow"), (4, "s", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    got = {r.doc_id: tuple(r)[2:5] for r in usage.complaint_features(df).collect()}
+    assert got == {1: (5, 3, 2), 2: (3, 1, 1), 3: (1, 0, 0), 4: (None, None, None)}
