@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,34 +13,53 @@ from holdfast.llm.mixing import mixture
 from holdfast.llm.near_dup import one_of_each
 from holdfast.llm.quality import quality
 from holdfast.llm.secrets import redact, trained
-from holdfast.session import cut_lineage
+from holdfast.session import cut_lineage, use_local_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(build: Stage) -> Stage:
+    """A session on one machine may name no shared folder; it gets one of its own."""
+
+    @functools.wraps(build)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        use_local_folder(spark)
+        return build(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     return quality(docs, _table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return one_of_each(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text holds no benchmark item."""
     leaks = contaminated(docs, _table(spark, sf_dir, "benchmark")).select("text_hash").distinct()
     return docs.join(leaks, F.xxhash64(docs["text"]) == leaks["text_hash"], "left_anti")
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret."""
     return redact(docs, trained(docs), length_column="n_chars")
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources come near their target weights."""
     return mixture(docs)
@@ -56,6 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    use_local_folder(spark)
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir))
