@@ -234,12 +234,12 @@ def fitted(docs: DataFrame, how: Licenses = Licenses()) -> Classifier:
     # Lines with plain license words have no sure label; the others have none.
     lines = paragraphs(some).where(~F.col("text").rlike("(?i)licen[sc]|copyright|permission"))
     lines = lines.orderBy(F.xxhash64("text"), "text").limit(how.sample)
-    plain = lines.select(F.lit(NONE).alias("family"), "text", F.xxhash64("text").alias("nth"))
+    plain = lines.select(F.lit(NONE).alias("family"), "text", F.lit(-1).alias("nth"))
     rows = cut_lineage(_features(made.unionByName(plain)))
 
     own = rows.where(F.col("family") != NONE).select(F.explode("grams").alias("gram")).distinct()
     # N-grams of the notices that plain lines rarely have.
-    plain_rows = rows.where(F.col("family") == NONE)
+    plain_rows = rows.where(F.col("nth") < 0)
     common = (
         plain_rows.select(F.explode("grams").alias("gram"))
         .groupBy("gram")
@@ -248,7 +248,10 @@ def fitted(docs: DataFrame, how: Licenses = Licenses()) -> Classifier:
     )
     # Without letters, or with a filler word, an n-gram says nothing.
     kept = own.where(F.col("gram").rlike("[a-z]") & ~F.col("gram").rlike("\\bw[0-9]+\\b"))
-    vocabulary = [r[0] for r in kept.join(common, "gram", "left_anti").orderBy("gram").collect()]
+    # Each of at most 100 n-grams per word of a line is that common, so they are few.
+    often = {r[0] for r in common.select("gram").collect()}
+    vocabulary = [r[0] for r in kept.orderBy("gram").collect()]
+    vocabulary = [g for g in vocabulary if g not in often and _cue(g) not in often]
 
     families = [NONE, UNKNOWN, *sorted(f for f in NOTICES if f not in (NONE, UNKNOWN))]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
@@ -345,10 +348,11 @@ def license_scan(
         .agg(F.first("lines").alias("lines"))
         .select("text_hash", F.explode("lines").alias("text"))
     )
-    scored = model.scored(_features(held))
+    # Written between the steps: a filter below would repeat their expressions.
+    scored = cut_lineage(model.scored(cut_lineage(_features(held))))
     families = F.array(*map(F.lit, model.families))
     best = F.array_position("chances", F.array_max("chances")).cast("int")
-    judged = (
+    judged = cut_lineage(
         scored.withColumn("likely", F.element_at(families, best))
         .withColumn("chance", F.array_max("chances"))
         .withColumn("licensed", 1 - F.element_at("chances", 1))
@@ -362,9 +366,9 @@ def license_scan(
                 F.col("licensed") >= how.likely, F.lit(UNKNOWN)
             ),
         )
-        .where("license is not null")
+        .select("text_hash", "license", "licensed")
     )
-    found = judged.groupBy("text_hash").agg(
+    found = judged.where("license is not null").groupBy("text_hash").agg(
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),
         F.count(F.lit(1)).alias("n_paragraphs"),
         F.max("licensed").alias("probability"),
