@@ -46,7 +46,7 @@ def test_domains(spark):
     assert list(map(tuple, got)) == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", "")]
 
 
-def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
+def test_bad_hosts_are_blocked_and_shares_are_shrunk(spark):
     hosts = {"good.a.org": (60, 55), "bad.b.org": (60, 2), "new.b.org": (0, 0), "once.c.org": (1, 0), "fine.d.org": (40, 36)}
     rows, said, k = [], [], 0
     for host, (n, good) in hosts.items():
@@ -59,7 +59,9 @@ def test_bad_hosts_are_blocked_and_few_labels_are_not_enough(spark):
     by = {r.host: r for r in got.dropDuplicates(["host"]).collect()}
     assert got.count() == len(rows)
     assert {h for h, r in by.items() if r.verdict == "block"} >= {"bad.b.org"}
-    assert by["once.c.org"].verdict == by["good.a.org"].verdict == "allow"
+    assert by["fine.d.org"].verdict == by["good.a.org"].verdict == "allow"
+    # One bad label moves a host less than sixty do.
+    assert by["bad.b.org"].bound < by["once.c.org"].bound
     # Shrinkage: the share lies between the host's own and its parents'.
     assert 2 / 60 < by["bad.b.org"].reputation < by["new.b.org"].reputation
     assert by["new.b.org"].reputation < by["good.a.org"].reputation < 55 / 60 + 0.01
