@@ -294,7 +294,10 @@ def _node(column: str):
 
 
 def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
-    """(node, doc, class_id, n_links) per text: its smallest id, its class, its links."""
+    """(node, doc, part, class_id, n_links) per text: its smallest id, its class, its links.
+
+    `part` tells classes apart (the smallest node in it); ids may be null or clash.
+    """
     signed = rows.where("node is not null").mapInArrow(
         _sign(how), "doc bigint, node bigint, mass double, keys array<bigint>"
     )
@@ -345,11 +348,17 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
     )
     near = parts.join(texts.select("node", "doc"), "node").join(degree, "node", "left")
     label = near.groupBy("part").agg(F.min("doc").alias("least"))
-    near = near.join(label, "part").select("node", "least", "n_links")
+    near = near.join(label, "part").select("node", "part", "least", "n_links")
     return (
         texts.select("node", "doc")
         .join(near, "node", "left")
-        .select("node", "doc", "n_links", F.coalesce("least", "doc").alias("class_id"))
+        .select(
+            "node",
+            "doc",
+            F.coalesce("part", "node").alias("part"),
+            F.coalesce("least", "doc").alias("class_id"),
+            "n_links",
+        )
     )
 
 
@@ -358,7 +367,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, class_id, class_size, n_links) for every row of `docs`.
 
-    `class_id` is the smallest id in the class, `n_links` the number of checked links of the
+    `class_id` is the smallest id in the class (null if all its ids are; classes whose ids
+    clash share one, but are sized apart), `n_links` the number of checked links of the
     row's text to other texts (texts that are connected already are not compared again).
     Texts are identified by a 64-bit hash.
     """
@@ -366,8 +376,8 @@ def near_duplicates(
     classes = _classes(rows, how).drop("doc")
     counts = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     known = classes.join(counts, "node")
-    sizes = known.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    known = known.join(sizes, "class_id").drop("n")
+    sizes = known.groupBy("part").agg(F.sum("n").alias("class_size"))
+    known = known.join(sizes, "part").drop("part", "n")
     return (
         rows.drop("text")
         .join(known, "node", "left")
@@ -385,7 +395,9 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of `docs` with one row for each class: that of the smallest id, once."""
     classes = _classes(_rows(docs, id_column, text_column), how)
-    first = classes.groupBy("class_id").agg(F.min(F.struct("doc", "node")).alias("first"))
+    # Null ids come last.
+    order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")
+    first = classes.groupBy("part").agg(F.min(order).alias("first"))
     first = first.select(F.col("first.node").alias("node"), F.col("first.doc").alias("least"))
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),

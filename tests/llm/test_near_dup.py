@@ -88,6 +88,23 @@ def test_edge_cases(spark):
     assert near_duplicates(df.limit(0)).count() == 0 and one_of_each(df.limit(0)).count() == 0
 
 
+def test_null_and_clashing_ids_keep_classes_apart(spark):
+    def plain(name):
+        return " ".join(f"{name}{k}" for k in range(60))
+
+    rows = [(None, plain("a")), (None, plain("b")), (7, plain("c")), (7, plain("d"))]
+    rows += [(None, plain("e")), (None, plain("e") + " more"), (9, plain("f")), (None, plain("f") + " more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.class_size, r.n_links) for r in got) == [
+        (0, 0, 1, 0), (0, 0, 1, 0), (0, 0, 2, 1), (0, 0, 2, 1), (0, 9, 2, 1),
+        (7, 7, 1, 0), (7, 7, 1, 0), (9, 9, 2, 1),
+    ]
+    kept = [tuple(r) for r in one_of_each(df).collect()]
+    assert len(kept) == 6 and set(rows[:4]) | {rows[6]} <= set(kept)
+    assert len(set(kept) & set(rows[4:6])) == 1
+
+
 def test_counting_repeats_tells_texts_apart(spark):
     line = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(1, line), (2, f"{line} {line} {line}")], "doc_id bigint, text string")
