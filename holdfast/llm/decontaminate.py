@@ -2,15 +2,18 @@
 
 Words lose the punctuation at their ends and their case. Numbers, units and names (words
 with a capital inside a sentence) become typed placeholders, whose original words are the
-slots. Documents and benchmark items are cut into windows of the resulting template; equal
-windows are found by a hash join. Windows of one item that lie in a document at the same
-distance form an alignment. It counts as a whole if its slots are filled consistently, that
-is if equal slot words of the item always became equal words; otherwise only its windows
-with the item's own words count.
+slots. Whether a capital is a name depends on the words around it, so each text has three
+kinds of template: names inside sentences; every capital word but function words a name; and
+plain words without placeholders, which are the same in a copy of any case, wrapping or
+place. Documents and benchmark items are cut into windows of these templates; equal windows
+of a kind are found by a hash join. Windows of one item and kind that lie in a document at
+the same distance form an alignment. It counts as a whole if its slots are filled
+consistently, that is if equal slot words of the item always became equal words; otherwise
+only its windows with the item's own words count. The kinds together cover an item.
 
 Cases: null and empty texts have no windows. Items with fewer than `shortest` words are too
 short to tell and match nothing; those shorter than a window match as a whole. Windows with
-fewer than `fixed` words besides placeholders say nothing and are left out. Rows with equal
+fewer than `fixed` words besides placeholders match with their own words only. Rows with equal
 id and text are reported once. Null ids are kept. Other columns are ignored.
 """
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.text import buffers, runs, slices, words
+from holdfast.llm.text import buffers, mix, runs, slices, words
 
 # English number words and units of measure that become placeholders.
 NUMBERS = (
@@ -37,6 +40,14 @@ UNITS = (
     "litres ml gram grams kilogram kilograms meter meters metre metres kilometer kilometers "
     "kilometre kilometres percent dollar dollars euro euros cent cents mph kmh"
 ).split()
+# Words that are no names although they often open a sentence.
+FUNCTION = (
+    "a an the this that these those i he she it we you they his her its our your their my what "
+    "which who whom whose when where why how is are was were be been do does did has have had can "
+    "could will would shall should may might must if in on at by for from of to with as into over "
+    "under after before during while and or but not no so then there here all any each every some "
+    "both let find calculate compute solve suppose given consider write explain describe choose"
+).split()
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(string.punctuation.encode())] = True
@@ -78,33 +89,34 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def templates(texts: pa.Array):
-    """Words of the texts, their template hashes, and which of them are placeholders."""
+    """Words of the texts, and per kind the template hashes and which are placeholders."""
     data, offsets = buffers(texts)
     found = words(data, offsets, lower=True, trim=_PUNCTUATION)
-    template = found.hash.copy()
-    slot = np.zeros(len(template), bool)
-    if not len(template):
-        return found, template, slot
+    plain = found.hash, np.zeros(len(found.hash), bool)
+    if not len(found.hash):
+        return found, [plain] * 3
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     number = (digits[found.end] > digits[found.start]) | _among(found.hash, _of(NUMBERS))
     unit = _among(found.hash, _of(UNITS))
     capital = _CAPITAL[data[found.start]]
     second = np.minimum(found.start + 1, len(data) - 1)
-    name = capital & ~(_CAPITAL[data[second]] & (found.start + 1 < found.end))
-    # A capital at the start of a text, line or sentence is no sign of a name.
+    capital &= ~(_CAPITAL[data[second]] & (found.start + 1 < found.end))
+    # A capital at the start of a text, line or sentence may or may not be a sign of a name.
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     since = np.concatenate([[0], found.end[:-1]])
     opening = stops[found.start] > stops[since]
     opening[found.bounds[:-1][np.diff(found.bounds) > 0]] = True
-    name &= ~opening
-    for kind, code in ((name, _NAME), (unit, _UNIT), (number, _NUMBER)):
-        template[kind] = code
-        slot |= kind
-    return found, template, slot
+    kinds = []
+    for name in (capital & ~opening, capital & ~_among(found.hash, _of(FUNCTION))):
+        template, slot = found.hash.copy(), name | unit | number
+        for kind, code in ((name, _NAME), (unit, _UNIT), (number, _NUMBER)):
+            template[kind] = code
+        kinds.append((template, slot))
+    return found, [*kinds, plain]
 
 
-def _rows(ids: list, found, at: np.ndarray, hashes: np.ndarray, length: int, part, item: bool):
-    """One row per window at word `at`, with the id, place and words of each."""
+def _rows(ids: list, found, at: np.ndarray, hashes: np.ndarray, length: int, part, kind=None):
+    """One row per window at word `at`, with the id, place and words of each; `kind` for items."""
     text = np.searchsorted(found.bounds, at, "right") - 1
     # Empty texts share their bound with the next one; the last of equals owns the word.
     inside = at[:, None] + np.arange(length)
@@ -118,27 +130,27 @@ def _rows(ids: list, found, at: np.ndarray, hashes: np.ndarray, length: int, par
         pa.array(hashes.view(np.int64)),
         slots,
     ]
-    if item:
+    if kind is not None:
+        columns.append(pa.array(np.full(len(at), kind, np.int32)))
         columns.append(pa.array(np.diff(found.bounds)[text].astype(np.int32)))
     return columns
 
 
-def _salted(hashes: np.ndarray, length: int) -> np.ndarray:
-    return hashes ^ np.uint64(length)
+def _salted(hashes: np.ndarray, length: int, kind: int) -> np.ndarray:
+    """Windows of different lengths or kinds are never equal."""
+    return mix(hashes ^ np.uint64(length + 1000 * kind))
 
 
 def _item_windows(how: Decontaminate):
-    names = ["item", "place", "hash", "slots", "total"]
+    names = ["item", "place", "hash", "slots", "kind", "total"]
 
     def windows(batches):
         for part in slices(batches, "text"):
-            found, template, slot = templates(part.column("text"))
+            found, kinds = templates(part.column("text"))
             sizes = np.diff(found.bounds)
-            taken = np.concatenate([[0], np.cumsum(~slot)])
             for length in range(min(how.shortest, how.window), how.window + 1):
-                hashes = _salted(runs(template, length), length)
                 whole = sizes == length if length < how.window else sizes >= length
-                at = np.concatenate(
+                first = np.concatenate(
                     [np.zeros(0, np.int64)]
                     + [
                         np.arange(lo, hi - length + 1)
@@ -146,10 +158,14 @@ def _item_windows(how: Decontaminate):
                         if fit
                     ]
                 )
-                at = at[taken[at + length] - taken[at] >= min(how.fixed, length)]
-                if len(at):
-                    columns = _rows(["item"], found, at, hashes[at], length, part, True)
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                for kind, (template, slot) in enumerate(kinds):
+                    hashes = _salted(runs(template, length), length, kind)
+                    # Plain windows have no placeholders: all of them are kept.
+                    taken = np.concatenate([[0], np.cumsum(~slot)])
+                    at = first[taken[first + length] - taken[first] >= min(how.fixed, length)]
+                    if len(at):
+                        columns = _rows(["item"], found, at, hashes[at], length, part, kind)
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     return windows
 
@@ -159,18 +175,19 @@ def _doc_windows(lengths: list[int], known):
 
     def windows(batches):
         for part in slices(batches, "text"):
-            found, template, _ = templates(part.column("text"))
+            found, kinds = templates(part.column("text"))
             owner = found.texts()
             for length in lengths:
-                hashes = _salted(runs(template, length), length)
-                one = owner[: len(hashes)] == owner[length - 1 :]
-                if known is not None:
-                    one &= _among(hashes, known.value)
-                at = np.flatnonzero(one)
-                if len(at):
-                    ids = ["doc", "text_hash"]
-                    columns = _rows(ids, found, at, hashes[at], length, part, False)
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                for kind, (template, _) in enumerate(kinds):
+                    hashes = _salted(runs(template, length), length, kind)
+                    one = owner[: len(hashes)] == owner[length - 1 :]
+                    if known is not None:
+                        one &= _among(hashes, known.value)
+                    at = np.flatnonzero(one)
+                    if len(at):
+                        ids = ["doc", "text_hash"]
+                        columns = _rows(ids, found, at, hashes[at], length, part)
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     return windows
 
@@ -195,7 +212,7 @@ def contaminated(
         .where("text is not null")
         .mapInArrow(
             _item_windows(how),
-            "item bigint, place int, hash bigint, slots array<bigint>, total int",
+            "item bigint, place int, hash bigint, slots array<bigint>, kind int, total int",
         )
         .distinct()
     )
@@ -221,7 +238,9 @@ def contaminated(
     pairs = found.withColumnsRenamed({"place": "there", "slots": "filled"}).join(items, "hash")
     # At most one row per window of the item, whatever the document repeats.
     aligned = (
-        pairs.groupBy("doc", "text_hash", "item", "total", F.expr("there - place").alias("shift"))
+        pairs.groupBy(
+            "doc", "text_hash", "item", "total", "kind", F.expr("there - place").alias("shift")
+        )
         .agg(F.collect_set(F.struct("place", "slots", "filled")).alias("windows"))
         .withColumn(
             "fillings",

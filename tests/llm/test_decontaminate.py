@@ -63,3 +63,24 @@ def test_rows_and_columns(spark, items):
     assert sorted((r.doc_id or 0, r.n_covered) for r in got) == [(0, 30), (1, 30), (2, 29)]
     assert contaminated(df.limit(0), items).count() == 0
     assert contaminated(df, items.limit(0)).count() == 0
+
+
+def test_copies_in_other_surroundings(spark):
+    items = [
+        (1, "What is the capital of France?"),
+        (2, "Then Paul and Maria met Peter near Lyon with Clara and later Simon saw Erik and Nina"),
+        (3, "Tom has 3 apples. Tom buys 4 pears and eats them. Tom sells 2 plums to the baker."),
+    ]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    people = "then paul and maria met peter near lyon\nwith clara and later simon saw erik and nina"
+    texts = [
+        "Quiz 3) What is the capital of France?",
+        'She asked "What is the capital of France" twice',
+        people,
+        people.upper(),
+        "Ann has 7 apples. Ann buys 9 pears and eats them. Ann sells 5 plums to the baker.",
+        "Paris is the capital of France and a large city",
+        "Ann has 7 apples. Bob buys 9 pears and eats them. Eve sells 5 plums to the baker.",
+    ]
+    got = found(spark, items, texts)
+    assert got == [(0, 1, True), (1, 1, True), (2, 2, True), (3, 2, True), (4, 3, False)]
