@@ -84,3 +84,11 @@ def test_copies_in_other_surroundings(spark):
     ]
     got = found(spark, items, texts)
     assert got == [(0, 1, True), (1, 1, True), (2, 2, True), (3, 2, True), (4, 3, False)]
+
+
+def test_exact_copies_of_items_that_are_mostly_slots(spark):
+    rows = [(1, "12 kg 7 miles 30 dollars 5 hours 9 feet 44 cents"), (2, "Add 3 and 4")]
+    rows += [(3, "Convert 5 miles to kilometers")]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    texts = ["table: " + rows[0][1] + " end", rows[0][1].replace("30", "31"), "1) " + rows[2][1] + "."]
+    assert found(spark, items, texts) == [(0, 1, True), (2, 3, True)]
