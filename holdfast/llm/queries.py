@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm import classifier
 from holdfast.llm.chat import formatted, read_back
 from holdfast.llm.decontaminate import contaminated
 from holdfast.llm.licenses import license_scan
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(column: str, by: int):
+    """The unsigned CRC-32 of a number as text, modulo `by`."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the licenses that its paragraphs state."""
     return license_scan(_table(spark, sf_dir, "documents"))
@@ -108,6 +114,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score, learned from the labels of two thirds of them."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_remainder("id", 3) == 1, F.lit(False))
+    weights = classifier.trained(docs, labels, usable=~held_out)
+    return classifier.scored(docs, weights).select(
+        "doc_id",
+        F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
@@ -119,6 +138,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_warc": op10_warc,
+    "op11_quality_classifier": op11_quality_classifier,
 }
 
 LLM_ORACLE: dict[str, str] = {
