@@ -19,6 +19,7 @@ from holdfast.llm.quality import quality
 from holdfast.llm.secrets import secrets, trained
 from holdfast.llm.urls import Rule, judged
 from holdfast.llm.warc import archived
+from holdfast.llm.whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +128,21 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on each of the first eight principal components, scaled to one."""
+    found = whitened(_table(spark, sf_dir, "embeddings"))
+    parts = found.select("*", F.posexplode("whitened").alias("place", "value"))
+    return parts.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        F.col("deviation").try_cast("bigint").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.col("explained")[F.col("place")].alias("explained"),
+        "identity_error",
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
@@ -139,6 +155,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_warc": op10_warc,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_whitening": op12_whitening,
 }
 
 LLM_ORACLE: dict[str, str] = {
