@@ -204,3 +204,52 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN page_id IS DISTINCT FROM chief THEN chief END AS refers_to
 FROM digits LEFT JOIN chiefs USING (hex)
 """
+
+# The standard reflected CRC-32, bit by bit, of the bytes of a number's decimal text.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+    list_concat([4294967295::BIGINT],
+                list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda crc, b: list_reduce(
+        list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, _: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"""
+
+OP13 = f"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                       coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+rebuilt AS (
+  SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY s.n) AS depth,
+         role, text
+  FROM convs c JOIN said s
+    ON (s.conv_id = c.base AND s.n <= h) OR (s.conv_id = c.conv_id AND s.n > h)),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars,
+    list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, [] FROM convs),
+prefixes AS (
+  SELECT conv_id, depth, chars, sha256(path::VARCHAR) AS node,
+         CASE WHEN depth > 0 THEN sha256(path[:-2]::VARCHAR) END AS parent,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS is_last
+  FROM paths),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth,
+         any_value(chars) AS chars, count(*) AS n_convs, min(conv_id) AS conv_id,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_last), '')
+           AS ids
+  FROM prefixes GROUP BY node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)),
+subtrees AS (
+  SELECT p.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves,
+         sum((u.n_convs - 1) * u.chars)::BIGINT AS saved_tokens
+  FROM whole u JOIN prefixes p ON p.conv_id = u.conv_id AND p.depth <= u.depth
+  GROUP BY p.node)
+SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+       n_leaves, saved_tokens, sha256(v.ids) AS ends_sha256
+FROM whole v JOIN subtrees USING (node) LEFT JOIN nodes up ON up.node = v.parent"""

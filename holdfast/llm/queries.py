@@ -14,9 +14,10 @@ from holdfast.llm.licenses import license_scan
 from holdfast.llm.lm import scores
 from holdfast.llm.mixing import mixed_sizes
 from holdfast.llm.near_dup import near_duplicates
-from holdfast.llm.oracle import OP5, OP8, OP9, OP10
+from holdfast.llm.oracle import OP5, OP8, OP9, OP10, OP13
 from holdfast.llm.quality import quality
 from holdfast.llm.secrets import secrets, trained
+from holdfast.llm.trie import continued, nodes, prefixes, turns
 from holdfast.llm.urls import Rule, judged
 from holdfast.llm.warc import archived
 from holdfast.llm.whitening import whitened
@@ -143,6 +144,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin like the one at their hundred."""
+    own = turns(_table(spark, sf_dir, "conversations"))
+    base = F.col("conv") - F.col("conv") % 100
+    return nodes(prefixes(continued(own, base, _remainder("conv", 6), most=6)))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_secrets": op2_secrets,
@@ -156,6 +164,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_quality_classifier": op11_quality_classifier,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LLM_ORACLE: dict[str, str] = {
@@ -163,4 +172,5 @@ LLM_ORACLE: dict[str, str] = {
     "op8_mixing": OP8,
     "op9_chat": OP9,
     "op10_warc": OP10,
+    "op13_prefix_trie": OP13,
 }
