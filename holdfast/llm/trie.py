@@ -270,7 +270,8 @@ def ends(rows: DataFrame, how: Trie = Trie()) -> DataFrame:
     Only the nodes that have several pieces are hashed one piece after the other in a task, since a
     digest cannot be split; that task holds one piece at a time.
     """
-    chunks = in_chunks(rows.select(*NODE, "conv"), "conv", NODE)
+    # Nothing is joined to these chunks, so the number of groups plays no part.
+    chunks = in_chunks(rows.select(*NODE, "conv"), "conv", NODE, groups=1)
     numbered = chunks.rows.withColumn(
         "piece", F.floor((F.row_number().over(chunks.within("conv")) - 1) / how.piece)
     )
@@ -336,7 +337,9 @@ def nodes(found: Chunks, how: Trie = Trie()) -> DataFrame:
     """One row per node of the trie of `prefixes`; conv_id is its smallest member."""
     flagged = screened(found.rows, sketch(found.rows, how))
     tails = _tails(flagged.where("tail"))
-    open_rows = in_chunks(flagged.where("not tail").drop("tail", CHUNK), "depth", ["conv"])
+    open_rows = in_chunks(
+        flagged.where("not tail").drop("tail", CHUNK), "depth", ["conv"], groups=found.groups
+    )
 
     # Below the first prefix that is proved single, a conversation is alone.
     first = open_rows.rows.where("single").groupBy("conv").agg(F.min("depth").alias("cut"))

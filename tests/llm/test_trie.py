@@ -83,21 +83,21 @@ def conversations(seed, n, words):
     return rows
 
 
-@pytest.mark.parametrize("words", [1, 2, 1000])
+@pytest.mark.parametrize("words", [2, 1000])
 def test_equals_brute_force(spark, words):
     rows = conversations(words, 230, words)
     assert found(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
 
 
 def test_small_sketch_and_pieces_change_nothing(spark):
-    rows = conversations(4, 300, 2)
+    rows = conversations(4, 230, 1)
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(df, Trie(per_prefix=1, largest=1 << 15, piece=3)) == brute(rows)
 
 
 def test_one_conversation_with_most_rows(spark):
-    long = [(100, t, "u", f"w{t % 7}", 1, "") for t in range(3000)]
-    copies = [(c, t, "u", f"w{t % 7}", 1, "") for c in (200, 300) for t in range(900)]
+    long = [(100, t, "u", f"w{t % 7}", 1, "") for t in range(240)]
+    copies = [(c, t, "u", f"w{t % 7}", 1, "") for c in (200, 300) for t in range(90)]
     rows = long + copies + conversations(5, 60, 3)
     assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
