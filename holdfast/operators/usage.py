@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +122,120 @@ def billing_cycles(orders: DataFrame, cycle_day: int = 1) -> DataFrame:
     )
 
 
+def cycle_days(daily: DataFrame) -> DataFrame:
+    """(o_custkey, cycle_day): the day of the month around which a customer's bills fall.
+
+    Days lie on a circle of 31. A day's weight is the number of bills on it and on its two
+    neighbours; the heaviest day wins, of equally heavy ones that with the most bills of its own,
+    then the smallest. `daily` holds (o_custkey, billed_on, n), so a customer weighs 31 rows,
+    however many bills there are.
+    """
+    counts = daily.groupBy("o_custkey", F.dayofmonth("billed_on").alias("dom")).agg(
+        F.sum("n").alias("n")
+    )
+    near = F.array(
+        *(
+            F.struct(
+                (F.pmod(F.col("dom") - 1 + F.lit(k), F.lit(31)) + 1).alias("day"),
+                (F.col("n") if k == 0 else F.lit(0).cast("bigint")).alias("own"),
+            )
+            for k in (-1, 0, 1)
+        )
+    )
+    weights = (
+        counts.select("o_custkey", "n", F.inline(near))
+        .groupBy("o_custkey", "day")
+        .agg(F.sum("n").alias("weight"), F.sum("own").alias("own"))
+    )
+    best = F.max(F.struct("weight", "own", (-F.col("day")).alias("less")))
+    return weights.groupBy("o_custkey").agg((-best["less"]).cast("int").alias("cycle_day"))
+
+
+def repaired_cycles(orders: DataFrame, early: int = 3) -> DataFrame:
+    """(o_custkey, cycle_day, month, n_orders, billed): bills by cycles that start on a day of
+    each customer's own, estimated from the bills.
+
+    A bill up to `early` days before its cycle's first day belongs to the cycle that is about to
+    start. A cycle bears the month of its first day; where a month is shorter than the cycle day,
+    its last day takes that part. Bills without customer or date are left out. Bills are
+    reduced to one row per customer and day before anything is joined.
+    """
+    known = orders.where(F.col("o_custkey").isNotNull() & F.col("o_orderdate").isNotNull())
+    daily = known.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("billed_on")).agg(
+        F.count(F.lit(1)).alias("n"), money_sum(F.col("o_totalprice")).alias("amount")
+    )
+    due = F.date_add("billed_on", early)
+    starts = F.least(F.col("cycle_day"), F.dayofmonth(F.last_day(due)))
+    month = F.trunc(F.when(F.dayofmonth(due) >= starts, due).otherwise(F.add_months(due, -1)), "MM")
+    return (
+        daily.join(cycle_days(daily), "o_custkey")
+        .groupBy("o_custkey", "cycle_day", month.alias("month"))
+        .agg(F.sum("n").alias("n_orders"), money_sum(F.col("amount")).alias("billed"))
+    )
+
+
+def as_of_features(
+    orders: DataFrame, events: DataFrame, cutoffs: Sequence[str], days: int = 30
+) -> DataFrame:
+    """Per customer and cutoff: what orders and events strictly before it say, and silence after.
+
+    All cutoffs are answered in one pass over each table: a row adds to every cutoff that it lies
+    before, inside the partial aggregate, so nothing is copied per cutoff and a customer
+    with very many rows is reduced before the shuffle. label = 1 when there is neither order
+    nor event in [cutoff, cutoff + days). Customers without anything before a cutoff have no
+    row for it.
+    """
+    moments = [F.lit(c).cast("timestamp") for c in cutoffs]
+    ends = [m + F.expr(f"interval {days} days") for m in moments]
+
+    def told(table: DataFrame, key: str, at: str, amount: str) -> DataFrame:
+        sums = []
+        for i, (moment, end) in enumerate(zip(moments, ends)):
+            before = F.col(at) < moment
+            ahead = (F.col(at) >= moment) & (F.col(at) < end)
+            sums += [
+                F.count_if(before).alias(f"n{i}"),
+                money_sum(F.when(before, F.col(amount))).alias(f"amount{i}"),
+                F.max(F.when(before, F.col(at))).alias(f"last{i}"),
+                F.count_if(ahead).alias(f"ahead{i}"),
+            ]
+        parts = [
+            F.struct(*(F.col(f"{c}{i}").alias(c) for c in ("n", "amount", "last", "ahead")))
+            for i in range(len(moments))
+        ]
+        wide = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("customer"))
+        return wide.agg(*sums).select("customer", F.array(*parts).alias("told"))
+
+    billed = told(orders, "o_custkey", "o_orderdate", "o_totalprice").withColumnRenamed(
+        "told", "billed"
+    )
+    used = told(events, "user_id", "ts", "value").withColumnRenamed("told", "used")
+    both = billed.join(used, "customer", "full").select(
+        "customer", "billed", "used",
+        F.posexplode(F.array(*moments)).alias("place", "cutoff"),
+    )
+    order, event = F.col("billed")[F.col("place")], F.col("used")[F.col("place")]
+
+    def count(of: Column) -> Column:
+        return F.coalesce(of, F.lit(0)).cast("bigint")
+
+    def age(last: Column) -> Column:
+        return F.date_diff(F.col("cutoff").cast("date"), last.cast("date"))
+
+    silent = (count(order["ahead"]) + count(event["ahead"])) == 0
+    return both.select(
+        "customer",
+        F.col("cutoff").cast("date").alias("cutoff"),
+        count(order["n"]).alias("n_orders"),
+        F.coalesce(order["amount"], F.lit(0.0)).alias("billed"),
+        age(order["last"]).alias("days_since_order"),
+        count(event["n"]).alias("n_events"),
+        F.coalesce(event["amount"], F.lit(0.0)).alias("usage_value"),
+        age(event["last"]).alias("days_since_event"),
+        silent.cast("int").alias("label"),
+    ).where((F.col("n_orders") > 0) | (F.col("n_events") > 0))
+
+
 def look_ahead_labels(
     orders: DataFrame, days: int = 30, cutoff: Column | None = None
 ) -> DataFrame:
@@ -167,29 +281,29 @@ def complaint_features(
     """Per text: words, complaint words of its language, and their share.
 
     Words are runs of letters and digits of any script. A language that is not listed has
-    no complaint words. Whole texts, no prefixes, and no list of words is built.
+    no complaint words. Whole texts, no prefixes; one pass finds all words of the language, and
+    only those found are listed.
     """
     text = F.lower("text")
 
-    def of_language(count: Callable[[Sequence[str]], Column]) -> Column:
-        case = F.lit(0)
-        for lang, known in words.items():
-            case = F.when(F.col("lang") == lang, count(known)).otherwise(case)
-        return case
-
     def one_of(known: Sequence[str]) -> str:
         return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(known)})(?![\p{{L}}\p{{N}}])"
 
-    def hits(known: Sequence[str]) -> Column:
-        return F.regexp_count(text, F.lit(one_of(known)))
-
-    def kinds(known: Sequence[str]) -> Column:
-        return sum((text.rlike(one_of([w])).cast("int") for w in known), F.lit(0))
-
-    return documents.select(
+    found = F.array().cast("array<string>")
+    for lang, known in words.items():
+        hits = F.regexp_extract_all(text, F.lit(one_of(known)), F.lit(0))
+        found = F.when(F.col("lang") == lang, hits).otherwise(found)
+    listed = documents.select(
         "doc_id",
         "source",
         F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).alias("n_tokens"),
-        of_language(hits).alias("n_complaint_words"),
-        of_language(kinds).alias("n_distinct_words"),
-    ).withColumn("word_share", F.try_divide("n_complaint_words", "n_tokens"))
+        found.alias("hits"),
+    )
+    return listed.select(
+        "doc_id",
+        "source",
+        "n_tokens",
+        F.size("hits").alias("n_complaint_words"),
+        F.size(F.array_distinct("hits")).alias("n_distinct_words"),
+        F.try_divide(F.size("hits"), "n_tokens").alias("word_share"),
+    )

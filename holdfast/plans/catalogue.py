@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import round_even
-from holdfast.operators import charts, cleaning, features, modelling, profiling, summary, usage
+from holdfast.functions.numbers import money_sum, round_even
+from holdfast.functions.risk import risk_band
+from holdfast.operators import (
+    certify,
+    charts,
+    cleaning,
+    features,
+    modelling,
+    profiling,
+    summary,
+    usage,
+)
 from holdfast.operators.ordered import exact_quantiles
 from holdfast.operators.scoring import critical_profile, rule_score, with_risk
-from holdfast.plans.daily import run_day
+from holdfast.plans.daily import run_day, run_model_day
 from holdfast.schema import (
+    BAND,
     CATEGORIES,
     FLAG,
     HIGH_ABOVE,
@@ -23,6 +36,7 @@ from holdfast.schema import (
     text_columns,
 )
 from holdfast.session import cut_lineage, fresh_dir
+from holdfast.sources.models import load_model
 from holdfast.sources.readers import read_csv, read_csv_tokens, table
 from holdfast.sources.sinks import read_day, write_csv, write_result
 from holdfast.sources.subscribers import subscribers
@@ -32,6 +46,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
 
 DAY = "2001-08-01"
+NEXT_DAY = "2001-08-02"
+
+# Cutoffs of the look-ahead features, among orders and among usage events.
+CUTOFFS = ("2001-05-01", "2001-07-02", "2024-01-16")
 
 
 def report(build: Query) -> Query:
@@ -439,6 +457,99 @@ def boosted_scores(spark, sf_dir):
     return modelling.predictions(modelling.model_score(test, model), KEY)
 
 
+# --- models and sketches, recomputed -----------------------------------------
+
+
+@report
+def model_scores_certified(spark, sf_dir):
+    model, test = modelling.train(subscribers(spark, sf_dir))
+    again = certify.sigmoid(certify.logistic_margin(model))
+    return certify.certified(test, model, again, KEY)
+
+
+@report
+def forest_scores_certified(spark, sf_dir):
+    model, test = modelling.train(subscribers(spark, sf_dir), modelling.forest())
+    return certify.certified(test, model, certify.forest_probability(spark, model), KEY)
+
+
+@report
+def boosted_scores_certified(spark, sf_dir):
+    model, test = modelling.train(subscribers(spark, sf_dir), modelling.boosted())
+    return certify.certified(test, model, certify.boosted_probability(spark, model), KEY)
+
+
+@report
+def model_bands_certified(spark, sf_dir):
+    """Customers and revenue over all bands, and whether recomputed scores give the same bands."""
+    rows = modelling.scorable(subscribers(spark, sf_dir))
+    model, _ = modelling.train(subscribers(spark, sf_dir))
+    scores = modelling.model_score(rows, model)
+    again = certify.sigmoid(certify.logistic_margin(model))
+    told = scores.withColumn(certify.SLOTS, vector_to_array("features"))
+    both = with_risk(told, strict=True).withColumn("again", risk_band(again))
+    return both.agg(
+        F.count(F.lit(1)).alias("customers"),
+        money_sum(F.col("MonthlyCharges")).alias("mrr"),
+        F.bool_and(F.col("again") == F.col(BAND)).alias("bands_agree"),
+    )
+
+
+@report
+def model_beats_null(spark, sf_dir):
+    rows = cut_lineage(modelling.prepared(subscribers(spark, sf_dir)))
+    model, _ = modelling.train(rows)
+    return certify.beats_null(features.split(rows)[0], model)
+
+
+@report
+def model_moments(spark, sf_dir):
+    """A fit that runs to its optimum reproduces the totals of every feature over the leavers."""
+    filled = cleaning.clean_median(subscribers(spark, sf_dir), exact=True)
+    rows = cut_lineage(features.outcome_label(filled))
+    steps = [features.category_indexer(CATEGORIES), features.assembler()]
+    preparation = Pipeline(stages=steps).fit(rows)
+    learn = features.split(rows)[0]
+    exact = modelling.logistic(500).setTol(1e-12)
+    fitted = exact.fit(preparation.transform(learn))
+    model = PipelineModel(stages=[*preparation.stages, fitted])
+    return certify.moments(learn, model, features.FEATURES)
+
+
+@report
+def median_approx_certified(spark, sf_dir):
+    cast = modelling.scorable(subscribers(spark, sf_dir))
+    answer = cleaning.approx_median(cast, "TotalCharges").scalar()
+    return certify.median_rank(cast, "TotalCharges", answer)
+
+
+@report
+def median_fill_certified(spark, sf_dir):
+    """The values that the approximate median filled in, held against the known ones."""
+    rows = subscribers(spark, sf_dir)
+    known = modelling.scorable(rows).select(KEY, F.col("TotalCharges").alias("known"))
+    filled = cut_lineage(cleaning.clean_median(rows).join(known, KEY))
+    gaps = filled.where("known is null")
+    answer = gaps.agg(F.max("TotalCharges")).scalar()
+    ranked = certify.median_rank(filled, "known", answer)
+    return ranked.withColumns(
+        {
+            "n_filled": gaps.agg(F.count("TotalCharges")).scalar(),
+            "n_values": gaps.agg(F.count_distinct("TotalCharges")).scalar(),
+        }
+    )
+
+
+@report
+def preparation_reloaded(spark, sf_dir):
+    """The preparation fitted, stored, loaded and applied: the features that it gives."""
+    rows = cut_lineage(cleaning.clean_median(subscribers(spark, sf_dir), exact=True))
+    steps = [features.category_indexer(CATEGORIES), features.assembler()]
+    path = fresh_dir(spark, "preparation")
+    Pipeline(stages=steps).fit(rows).save(path)
+    return features.unpacked(PipelineModel.load(path).transform(rows))
+
+
 def labelled_rule_scores(spark, sf_dir):
     return features.outcome_label(scored(spark, sf_dir))
 
@@ -469,6 +580,36 @@ def daily_layer_readback(spark, sf_dir):
     return read_day(spark, layers["scored"], DAY)
 
 
+def two_days(spark, sf_dir):
+    """Layers of two days: the first day's model scores the second, which arrives with gaps."""
+    root = fresh_dir(spark, "layers")
+    run_model_day(spark, subscribers(spark, sf_dir), root, DAY)
+    return run_model_day(spark, with_gaps(spark, sf_dir), root, NEXT_DAY), root
+
+
+@report
+def daily_feature_layer(spark, sf_dir):
+    layers, _ = two_days(spark, sf_dir)
+    return read_day(spark, layers["features"], NEXT_DAY)
+
+
+@report
+def daily_model_scored(spark, sf_dir):
+    """The second day's scored rows, recomputed from its feature layer and the stored model."""
+    layers, root = two_days(spark, sf_dir)
+    model = load_model(spark, f"{root}/models", before=NEXT_DAY)
+    slots = F.array(*(F.col(f) for f in features.FEATURES)).alias(certify.SLOTS)
+    vectors = read_day(spark, layers["features"], NEXT_DAY).select(KEY, slots)
+    again = certify.sigmoid(certify.logistic_margin(model))
+    found = read_day(spark, layers["scored"], NEXT_DAY).join(vectors, KEY)
+    return found.withColumn(
+        "certified",
+        certify.close(F.col(SCORE), again)
+        & (F.col(FLAG) == (again > 0.5).cast("int"))
+        & (F.col(BAND) == risk_band(again)),
+    ).drop(SCORE, FLAG, BAND, certify.SLOTS)
+
+
 @report
 def customer_view(spark, sf_dir):
     names = ("customer", "nation", "region", "orders", "events")
@@ -492,6 +633,17 @@ def look_ahead_labels(spark, sf_dir):
     return usage.look_ahead_labels(table(spark, sf_dir, "orders"))
 
 
+@report
+def billing_cycles_repaired(spark, sf_dir):
+    return usage.repaired_cycles(table(spark, sf_dir, "orders"))
+
+
+@report
+def as_of_features(spark, sf_dir):
+    orders, events = (table(spark, sf_dir, n) for n in ("orders", "events"))
+    return usage.as_of_features(orders, events, CUTOFFS)
+
+
 @report
 def arpu_by_internet(spark, sf_dir):
     arpu = usage.revenue_per_user(cleaned(spark, sf_dir), "InternetService")

@@ -224,6 +224,86 @@ FEATURE_LIST = ", ".join(
     + [f'{_index(c)} AS "{c}_index"' for c in CATEGORIES]
 )
 
+# Rows of the 30 per cent that no model learns from, with what a certificate says of each.
+_TEST = f"""{uniform('"customerID"', "split42")} >= 0.7::DOUBLE"""
+CERTIFIED = sql(
+    f"""SELECT "customerID", CASE WHEN "Churn" = 'Yes' THEN 1 ELSE 0 END::INTEGER AS label,
+    true AS probability_agrees, true AS prediction_agrees FROM subscribers WHERE {_TEST}"""
+)
+
+
+def _moments() -> str:
+    """Totals of every feature over the leavers that a model learns from."""
+    features = [f'"{c}"::DOUBLE AS "{c}"' for c in MEASURES]
+    features += [f'{_index(c)} AS "{c}_index"' for c in CATEGORIES]
+    names = [*MEASURES, *(f"{c}_index" for c in CATEGORIES)]
+    rows = f"""learned AS (SELECT {", ".join(features)} FROM medianed s
+               WHERE "Churn" = 'Yes' AND NOT ({_TEST}))"""
+    each = " UNION ALL ".join(
+        f"""SELECT '{n}' AS feature, sum("{n}"::DECIMAL(38,6))::DOUBLE AS observed,
+        true AS agrees FROM learned"""
+        for n in names
+    )
+    return sql(each, _labels("medianed", CATEGORIES), rows)
+
+
+# The second day arrives with gaps; its indexes are those of the first day's labels.
+_SECOND = """second AS (
+  SELECT * REPLACE (coalesce(TRY_CAST("TotalCharges" AS DOUBLE),
+                    (SELECT quantile_disc(TRY_CAST("TotalCharges" AS DOUBLE), 0.5) FROM gaps))
+                    AS "TotalCharges")
+  FROM gaps WHERE "MonthlyCharges" IS NOT NULL)"""
+
+AS_OF = """
+  WITH cutoffs(cutoff) AS (VALUES (DATE '2001-05-01'), (DATE '2001-07-02'), (DATE '2024-01-16')),
+  everyone AS (SELECT o_custkey AS customer FROM orders UNION SELECT user_id FROM events),
+  told AS (
+    SELECT customer, cutoff,
+      (SELECT count(*) FROM orders WHERE o_custkey = customer AND o_orderdate < cutoff) AS n_orders,
+      (SELECT sum(o_totalprice::DECIMAL(28,6)) FROM orders
+       WHERE o_custkey = customer AND o_orderdate < cutoff) AS billed,
+      (SELECT max(o_orderdate)::DATE FROM orders
+       WHERE o_custkey = customer AND o_orderdate < cutoff) AS last_order,
+      (SELECT count(*) FROM events WHERE user_id = customer AND ts < cutoff) AS n_events,
+      (SELECT sum(value::DECIMAL(28,6)) FROM events
+       WHERE user_id = customer AND ts < cutoff) AS usage_value,
+      (SELECT max(ts)::DATE FROM events WHERE user_id = customer AND ts < cutoff) AS last_event,
+      (SELECT count(*) FROM orders WHERE o_custkey = customer
+       AND o_orderdate >= cutoff AND o_orderdate < cutoff + INTERVAL 30 DAY)
+      + (SELECT count(*) FROM events WHERE user_id = customer
+       AND ts >= cutoff AND ts < cutoff + INTERVAL 30 DAY) AS ahead
+    FROM everyone, cutoffs)
+  SELECT customer, cutoff, n_orders, coalesce(billed, 0)::DOUBLE AS billed,
+    date_diff('day', last_order, cutoff)::INTEGER AS days_since_order, n_events,
+    coalesce(usage_value, 0)::DOUBLE AS usage_value,
+    date_diff('day', last_event, cutoff)::INTEGER AS days_since_event,
+    CASE WHEN ahead = 0 THEN 1 ELSE 0 END::INTEGER AS label
+  FROM told WHERE n_orders > 0 OR n_events > 0"""
+
+REPAIRED = """
+  WITH bills AS (
+    SELECT o_custkey, o_orderdate::DATE AS billed_on, o_totalprice::DECIMAL(28,6) AS amount
+    FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL),
+  weights AS (
+    SELECT o_custkey, day, count(*) AS weight,
+      count(*) FILTER (WHERE dayofmonth(billed_on) = day) AS own
+    FROM bills, range(1, 32) AS days(day)
+    WHERE least((dayofmonth(billed_on) - day + 31) % 31, (day - dayofmonth(billed_on) + 31) % 31) <= 1
+    GROUP BY ALL),
+  cycles AS (
+    SELECT o_custkey, day::INTEGER AS cycle_day FROM weights
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY weight DESC, own DESC, day) = 1),
+  due AS (
+    SELECT o_custkey, cycle_day, amount, (billed_on + 3)::DATE AS due FROM bills JOIN cycles
+    USING (o_custkey)),
+  placed AS (
+    SELECT o_custkey, cycle_day, amount,
+      date_trunc('month', CASE WHEN dayofmonth(due) >= least(cycle_day, dayofmonth(last_day(due)))
+                               THEN due ELSE due - INTERVAL 1 MONTH END)::DATE AS month
+    FROM due)
+  SELECT o_custkey, cycle_day, month, count(*) AS n_orders, sum(amount)::DOUBLE AS billed
+  FROM placed GROUP BY ALL"""
+
 POINTS = 'SELECT "customerID", "tenure", "MonthlyCharges", "Banda_Riesgo" FROM scored'
 
 AUC = sql(
@@ -409,6 +489,40 @@ ORACLE: dict[str, str] = {
         f"""SELECT "customerID", CASE WHEN {uniform('"customerID"', "split42")} < 0.7::DOUBLE
         THEN 'train' ELSE 'test' END AS part FROM subscribers"""
     ),
+    "model_scores_certified": CERTIFIED,
+    "forest_scores_certified": CERTIFIED,
+    "boosted_scores_certified": CERTIFIED,
+    "model_bands_certified": sql(
+        """SELECT count(*) AS customers, sum("MonthlyCharges"::DECIMAL(28,6))::DOUBLE AS mrr,
+        true AS bands_agree FROM subscribers"""
+    ),
+    "model_beats_null": sql(
+        f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE "Churn" = 'Yes') AS n_ones,
+        true AS beats_null FROM subscribers WHERE NOT ({_TEST})"""
+    ),
+    "model_moments": _moments(),
+    "median_approx_certified": sql(
+        """SELECT count(TRY_CAST("TotalCharges" AS DOUBLE)) AS n_known, true AS is_median,
+        true AS is_element FROM subscribers"""
+    ),
+    "median_fill_certified": sql(
+        """SELECT count(TRY_CAST("TotalCharges" AS DOUBLE)) AS n_known, true AS is_median,
+        true AS is_element,
+        count(*) FILTER (WHERE TRY_CAST("TotalCharges" AS DOUBLE) IS NULL) AS n_filled,
+        1::BIGINT AS n_values FROM subscribers"""
+    ),
+    "preparation_reloaded": sql(
+        f"""SELECT "customerID", {FEATURE_LIST} FROM medianed s""",
+        _labels("medianed", CATEGORIES),
+    ),
+    "daily_feature_layer": sql(
+        f"""SELECT "customerID", {FEATURE_LIST} FROM second s""",
+        _labels("subscribers", CATEGORIES),
+        _SECOND,
+    ),
+    "daily_model_scored": sql("SELECT *, true AS certified FROM second", _SECOND),
+    "billing_cycles_repaired": REPAIRED,
+    "as_of_features": AS_OF,
     "auc_exact": AUC,
     "auc_evaluator": AUC,
     "recall_threshold": sql(
