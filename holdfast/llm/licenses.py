@@ -14,8 +14,9 @@ words. Features that the fitted model gives no weight are dropped; a paragraph w
 other feature gets the same verdict as an empty one, so only paragraphs with one are scored.
 
 Cases: null and empty texts have no paragraphs and no license. A document with several
-licenses reports all, in order of name. Repeated rows get equal results. Other columns are
-ignored.
+licenses reports all, in order of name. Very long texts are split whole. Repeated rows get equal
+results; texts are told apart by a hash of 64 bits. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm.sampling import picked
 from holdfast.session import cut_lineage
 
 NONE, UNKNOWN = "none", "unknown"
@@ -228,12 +230,15 @@ def fitted(docs: DataFrame, how: Licenses = Licenses()) -> Classifier:
     """
     spark = docs.sparkSession
     made = _variants(_notices(spark), how)
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(1_000_000))
-    some = docs.where(part < F.lit(int(1e6 * min(1.0, how.sample / max(n, 1)))))
-    # Lines with plain license words have no sure label; the others have none.
+    some = picked(docs, how.sample, "doc", "text", seed=5)
+    # Lines with plain license words have no sure label; the others have none, unless they
+    # share a run of three words with a notice. A line that many documents hold counts once.
     lines = paragraphs(some).where(~F.col("text").rlike("(?i)licen[sc]|copyright|permission"))
-    lines = lines.orderBy(F.xxhash64("text"), "text").limit(how.sample)
+    stated = sorted({g for f, own in NOTICES.items() if f != NONE for t in own for g in _three(t)})
+    noticed = F.arrays_overlap(ngrams("words", 3), F.array(*map(F.lit, stated)))
+    # Written, or the filter would split a line anew for each of its words.
+    lines = cut_lineage(lines.select("text").distinct().withColumn("words", tokens(F.col("text"))))
+    lines = lines.where(~noticed).orderBy(F.xxhash64("text"), "text").limit(how.sample)
     plain = lines.select(F.lit(NONE).alias("family"), "text", F.lit(-1).alias("nth"))
     rows = cut_lineage(_features(made.unionByName(plain)))
 
@@ -373,7 +378,9 @@ def license_scan(
         F.count(F.lit(1)).alias("n_paragraphs"),
         F.max("licensed").alias("probability"),
     )
-    keyed = rows.select("doc", F.xxhash64("text").alias("text_hash"))
+    # Missing texts share no key with anything.
+    text_hash = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    keyed = rows.select("doc", text_hash.alias("text_hash"))
     return keyed.join(found, "text_hash", "left").select(
         F.col("doc").alias(id_column),
         "licenses",

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.text import WORD
+from holdfast.llm.sampling import picked
 from holdfast.session import cut_lineage
 
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -283,10 +284,9 @@ def labelled_rows(
 ) -> DataFrame:
     """Statistics of a bounded sample of the labelled documents, by hash of their ids."""
     known = labels.select(F.col(id_column).alias("id"), F.col("quality").alias("quality"))
-    known = known.where("id is not null and quality is not null")
-    n = known.count()
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
-    known = known.where(part < F.lit(int(1_000_000 * min(1.0, how.sample / max(n, 1)))))
+    known = picked(
+        known.where("id is not null and quality is not null"), how.sample, "id", seed=3
+    )
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     stats = statistics(texts.join(known, "id"), "text", how.window)
     # What the base rules reject anyway teaches nothing.

@@ -58,3 +58,21 @@ def test_documents(spark, scanned):
 def test_rows(scanned):
     assert len(scanned) == 1000 + 12
     assert [r["licenses"] for r in scanned if r["doc_id"] == -1] == ["MIT", "MIT"]
+
+
+def test_a_notice_in_a_third_of_the_rows_is_found_in_all(spark):
+    """Whatever the hash of its line: no common notice is learned as harmless."""
+    first = "Redistribution and use in source and binary forms, with or without modification,"
+    lines = [first + " are permitted provided that the following conditions are met:"]
+    lines.append("If a copy of the MPL was not distributed with this file, You can obtain one at"
+                 " http://mozilla.org/MPL/2.0/.")
+    for line, family in zip(lines, ("BSD", "MPL-2.0")):
+        rows = [(i, f"{PLAIN} {i}\n" + (line if i % 3 == 0 else "the end")) for i in range(900)]
+        got = license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r.licenses for r in got if r.doc_id % 3 == 0} == {family}
+        assert {r.licenses for r in got if r.doc_id % 3} == {None}
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert license_scan(empty).count() == 0
