@@ -1,11 +1,13 @@
 """Chat formatting: conversations cut into windows of whole turns, with a loss mask.
 
-The tokens before each turn (prefix sums over the conversation) decide: window k holds the
-turns that begin in the k-th stretch of `window - history` tokens. Each window also repeats
-the system turn, if the conversation opens with one, and as many of the turns just before
-it as fit in `history` tokens and in the window. Only the window that a turn belongs to has
-it under the loss mask; repeats are masked. A window is over its budget only if the system
-turn and its own turns are, since no turn is ever cut or left out.
+The tokens before each turn (prefix sums over the conversation) decide: stretch k holds the
+turns that begin in the k-th stretch of `window - history` tokens (less where the system turn
+is longer than the history). They are one window, except that a last turn with which the
+stretch could not keep the budget is a window of its own. Each window also repeats the system
+turn, if the conversation opens with one, and as many of the turns just before it as fit in
+`history` tokens and in the window. Only the window that a turn belongs to has it under the
+loss mask; repeats are masked. A window is over its budget only if one of its own turns alone is,
+together with the system turn, since no turn is ever cut or left out.
 
 A turn is written as ``<turn n="3" role="user">text</turn>`` and a line end; repeats say
 ``repeat`` before the ``>``. Backslash and ``<`` in texts, and the quote in roles, get a
@@ -13,7 +15,8 @@ backslash before them, so no text can look like a mark, and reading back undoes
 
 Cases: rows are ordered by turn, ties by role, then text, nulls first. Null text and role
 are empty. A null conversation id is a conversation of its own. Repeated rows are turns of
-their own. Empty turns count the tokens of their marks. Other columns are ignored.
+their own. Empty turns count the tokens of their marks; very long ones are whole, in a window of
+their own. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,7 +71,8 @@ def turns(
     text_column: str = "text",
     how: Windows = Windows(),
 ) -> DataFrame:
-    """(conv, key, tokens, n, before, total): turns with the tokens before them.
+    """(conv, key, tokens, n, before, total, system): turns with the tokens before them, those of
+    the conversation and those of its system turn.
 
     Conversations are range-partitioned together with their turns, so a long one is summed
     in several tasks.
@@ -86,23 +90,36 @@ def turns(
     )
     chunks = in_chunks(named, "key", ["conv"])
     summed = running_totals(chunks, "key", ["tokens", "one"])
-    totals = chunks.rows.groupBy("conv").agg(F.sum("tokens").alias("total"))
+    first = F.min(F.struct("key.turn", "key.role", "key.text", "tokens"))
+    opening = F.when(first["role"] == SYSTEM, first["tokens"]).otherwise(0)
+    totals = chunks.rows.groupBy("conv").agg(
+        F.sum("tokens").alias("total"), opening.alias("system")
+    )
     return summed.join(totals, "conv").select(
         "conv", "key", "tokens", F.col("one_before").alias("n"),
-        F.col("tokens_before").alias("before"), "total",
+        F.col("tokens_before").alias("before"), "total", "system",
     )
 
 
 def windows(placed: DataFrame, how: Windows = Windows()) -> DataFrame:
     """(conv, part, formatted, loss, n_tokens) per window; `loss` holds (start, end) pairs."""
-    stretch = how.window - how.history
-    own = F.floor(F.col("before") / stretch).cast("int")
-    last = F.floor((F.col("total") - 1) / stretch).cast("int")
-    reach = F.least(last, F.floor((F.col("before") + how.history) / stretch).cast("int"))
+    stretch = F.greatest(F.lit(how.window) - F.greatest("system", F.lit(how.history)), F.lit(1))
+    at = F.floor(F.col("before") / F.col("stretch")).cast("int")
+    last = F.floor((F.col("total") - 1) / F.col("stretch")).cast("int")
+    reach = F.floor((F.col("before") + how.history) / F.col("stretch")).cast("int")
     opening = (F.col("n") == 0) & (F.col("key.role") == SYSTEM)
-    to = F.when(opening, last).otherwise(reach)
-    each = placed.withColumn("own", own).withColumn("opening", opening).withColumn(
-        "part", F.explode(F.sequence(F.col("own"), F.greatest("own", to)))
+    # Only the last turn of a stretch can reach beyond the stretch. Stretch k has windows 2k and
+    # 2k + 1, the latter for a last turn that may not fit.
+    end = F.col("before") + F.col("tokens") - F.col("at") * F.col("stretch")
+    apart = (end > F.col("stretch")) & (end > F.lit(how.window) - F.col("system"))
+    own = (2 * F.col("at") + F.when(apart, 1).otherwise(0)).cast("int")
+    upto = F.when(opening, last).otherwise(F.least(last, reach))
+    each = (
+        placed.withColumn("stretch", stretch)
+        .withColumn("at", at)
+        .withColumn("own", own)
+        .withColumn("opening", opening)
+        .withColumn("part", F.explode(F.sequence("own", F.greatest("own", 2 * upto + 1))))
     )
     turn = F.struct(
         "n",

@@ -145,14 +145,19 @@ placed AS (
     SELECT *,
         coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
-        (sum(tokens) OVER (PARTITION BY conv_id))::BIGINT AS total
+        (sum(tokens) OVER (PARTITION BY conv_id))::BIGINT AS total,
+        coalesce(max(tokens) FILTER (WHERE n = 0 AND role = 'system')
+            OVER (PARTITION BY conv_id), 0) AS system
     FROM counted
 ),
+stretched AS (SELECT *, greatest(1024 - greatest(system, 256), 1) AS stretch FROM placed),
 cut AS (
-    SELECT *, before // 768 AS own, n = 0 AND role = 'system' AS opening,
-        CASE WHEN n = 0 AND role = 'system' THEN (total - 1) // 768
-            ELSE least((total - 1) // 768, (before + 256) // 768) END AS upto
-    FROM placed
+    SELECT *, n = 0 AND role = 'system' AS opening,
+        before // stretch * 2 + (before % stretch + tokens > greatest(stretch, 1024 - system))::INT
+            AS own,
+        CASE WHEN n = 0 AND role = 'system' THEN (total - 1) // stretch
+            ELSE least((total - 1) // stretch, (before + 256) // stretch) END * 2 + 1 AS upto
+    FROM stretched
 ),
 each AS (SELECT *, unnest(range(own, greatest(own, upto) + 1)) AS part FROM cut),
 windows AS (

@@ -1,5 +1,7 @@
 """Formatting and reading back, windows and their budget, masks."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +84,35 @@ def test_ties_nulls_and_clashing_columns(spark):
 def test_damaged_windows_are_refused():
     with pytest.raises(ValueError):
         list(chat.parsed('<turn n="0" role="user">a<b</turn>\n'))
+
+
+@pytest.mark.parametrize("system", [0, 5, 60])
+def test_no_window_is_over_budget_unless_a_turn_is(spark, system):
+    rng = random.Random(system)
+    rows = []
+    for conv in range(30):
+        if system:
+            rows.append((conv, 0, "system", "s " * (system - 4)))
+        longest = rng.choice([10, 60, 95, 130])
+        for k in range(1, rng.randrange(3, 40)):
+            rows.append((conv, k, "ua"[k % 2], "w " * rng.randrange(longest)))
+    how = chat.Windows(window=100, history=30)
+    got = chat.formatted(table(spark, rows), how=how).collect()
+    seen = {}
+    for r in got:
+        sizes = [(len(t.split()) + 4, again) for _, _, t, again in chat.parsed(r.formatted)]
+        own = [size for size, again in sizes if not again]
+        assert r.n_tokens == sum(size for size, _ in sizes)
+        assert r.n_tokens <= 100 or (len(own) == 1 and own[0] + system > 100), (r.part, sizes)
+        for n, *_, again in chat.parsed(r.formatted):
+            if not again:
+                seen.setdefault(r.conv_id, []).append(n)
+    assert all(sorted(v) == list(range(len(v))) for v in seen.values())
+    assert sum(map(len, seen.values())) == len(rows)
+
+
+def test_two_turns_that_fit_alone_but_not_together(spark):
+    rows = [(1, 0, "user", "w " * 600), (1, 1, "assistant", "w " * 900)]
+    got = chat.formatted(table(spark, rows)).orderBy("part").collect()
+    assert [r.n_tokens for r in got] == [604, 904]
+    assert [t[1:] for t in turns_of(chat.formatted(table(spark, rows)))[1]] == [r[2:] for r in rows]
