@@ -13,8 +13,10 @@ only its windows with the item's own words count. The kinds together cover an it
 
 Cases: null and empty texts have no windows. Items with fewer than `shortest` words are too
 short to tell and match nothing; those shorter than a window match as a whole. Windows with
-fewer than `fixed` words besides placeholders match with their own words only. Rows with equal
-id and text are reported once. Null ids are kept. Other columns are ignored.
+fewer than `fixed` words besides placeholders match with their own words only. Very long texts are
+read whole. Rows with equal id and text are reported once. Null ids are kept. Items with equal
+or missing ids but different texts are items of their own; equal items of one id are one. Empty
+tables on either side give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def _salted(hashes: np.ndarray, length: int, kind: int) -> np.ndarray:
 
 
 def _item_windows(how: Decontaminate):
-    names = ["item", "place", "hash", "slots", "kind", "total"]
+    names = ["item", "item_hash", "place", "hash", "slots", "kind", "total"]
 
     def windows(batches):
         for part in slices(batches, "text"):
@@ -164,12 +166,18 @@ def _item_windows(how: Decontaminate):
                     taken = np.concatenate([[0], np.cumsum(~slot)])
                     at = first[taken[first + length] - taken[first] >= min(how.fixed, length)]
                     if len(at):
-                        columns = _rows(["item"], found, at, hashes[at], length, part, kind)
+                        columns = _rows(
+                            ["item", "item_hash"], found, at, hashes[at], length, part, kind
+                        )
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     return windows
 
 
+# Ids may be missing or shared, so items are told apart by their texts as well.
+OF_ITEM = ["item", "item_hash", "total"]
+
+
 def _doc_windows(lengths: list[int], known):
     names = ["doc", "text_hash", "place", "hash", "slots"]
 
@@ -208,11 +216,16 @@ def contaminated(
     """
     spark = docs.sparkSession
     items = (
-        benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text"))
+        benchmark.select(
+            F.col(item_column).alias("item"),
+            F.xxhash64(item_text).alias("item_hash"),
+            F.col(item_text).alias("text"),
+        )
         .where("text is not null")
         .mapInArrow(
             _item_windows(how),
-            "item bigint, place int, hash bigint, slots array<bigint>, kind int, total int",
+            "item bigint, item_hash bigint, place int, hash bigint, slots array<bigint>, kind int,"
+            " total int",
         )
         .distinct()
     )
@@ -239,7 +252,7 @@ def contaminated(
     # At most one row per window of the item, whatever the document repeats.
     aligned = (
         pairs.groupBy(
-            "doc", "text_hash", "item", "total", "kind", F.expr("there - place").alias("shift")
+            "doc", "text_hash", *OF_ITEM, "kind", F.expr("there - place").alias("shift")
         )
         .agg(F.collect_set(F.struct("place", "slots", "filled")).alias("windows"))
         .withColumn(
@@ -262,7 +275,7 @@ def contaminated(
     )
     own = "forall(flatten(collect_list(counted)), w -> w.slots = w.filled)"
     matched = (
-        aligned.groupBy("doc", "text_hash", "item", "total")
+        aligned.groupBy("doc", "text_hash", *OF_ITEM)
         .agg(F.size(F.expr(covers)).alias("n_covered"), F.expr(own).alias("exact"))
         .where(F.col("n_covered") >= F.least(F.lit(how.enough), F.ceil(how.share * F.col("total"))))
     )

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by repeating documents.
 
 The words of each source are summed, targets are shared out by weight, and a document is
-emitted floor(rate) times plus once more if a draw from its id's hash falls below the
-fraction of the rate. Rate is target over size of the source. Targets stop at `most` times
+emitted floor(rate) times plus once more if a draw from the hash of its id, source and text falls
+below the fraction of the rate. Rate is target over size of the source. Targets stop at `most` times
 the source's size; what is above goes to the other sources by weight until none is above.
 
 Cases: null texts have no words; null is a source of its own, last in order; sources without
-words have target 0 and emit nothing. Rows with equal ids share one draw; a null id draws as
-empty text. An empty table gives an empty result. In `mixture`, columns of the table that
+words have target 0 and emit nothing. Rows that are equal in id, source and text share one draw; a
+null id draws as empty text. Very long texts are counted whole. An empty table gives an empty
+result. In `mixture`, columns of the table that
 are named like an added one keep their values and the added one gets a trailing underscore.
 """
 
@@ -75,9 +76,16 @@ def targets(sized: DataFrame, how: Mixing = Mixing()) -> DataFrame:
     )
 
 
-def copies(id_column: str, rate: str, how: Mixing = Mixing()) -> Column:
+def draw_key(id_column: str, source_column: str, text_column: str) -> Column:
+    """What a row's draw depends on. Ids may be missing or shared, so source and text count."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_column, source_column)]
+    text = F.md5(F.coalesce(F.col(text_column), F.lit("")))
+    return F.concat_ws(":", *parts, text)
+
+
+def copies(key: str, rate: str, how: Mixing = Mixing()) -> Column:
     """How often a row is emitted."""
-    draw = F.expr(uniform_sql(f"coalesce(cast(`{id_column}` as string), '')", how.salt))
+    draw = F.expr(uniform_sql(f"`{key}`", how.salt))
     whole = F.floor(rate)
     return (whole + F.when(draw < F.col(rate) - whole, 1).otherwise(0)).cast("bigint")
 
@@ -95,6 +103,7 @@ def mixed_sizes(
             F.col(id_column).alias("id"),
             F.col(source_column).alias("source"),
             word_count(F.col(text_column)).alias("size"),
+            draw_key(id_column, source_column, text_column).alias("key"),
         )
     )
     plan = targets(sized, how).withColumnRenamed("source", "name")
@@ -104,7 +113,7 @@ def mixed_sizes(
         "size",
         "source_size",
         "target",
-        copies("id", "rate", how).alias("copies"),
+        copies("key", "rate", how).alias("copies"),
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
 
@@ -124,10 +133,10 @@ def mixture(
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(source_column).alias("source"),
-        F.col(id_column).alias("id"),
+        draw_key(id_column, source_column, text_column).alias("key"),
     )
     times = packed.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn(
-        "times", copies("id", "rate", how)
+        "times", copies("key", "rate", how)
     )
     copy = "copy"
     while copy in docs.columns:

@@ -3,6 +3,8 @@
 OP8 = r"""
 WITH sized AS (
     SELECT doc_id, source,
+        coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':'
+            || md5(coalesce(text, '')) AS key,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
     FROM documents
 ),
@@ -36,7 +38,7 @@ SELECT doc_id, size, source_size, target,
 FROM (
     SELECT sized.doc_id, size, source_size, target,
         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-        (('0x' || substr(md5('mixing:' || coalesce(sized.doc_id::VARCHAR, '')), 1, 8))::UBIGINT
+        (('0x' || substr(md5('mixing:' || key), 1, 8))::UBIGINT
             / 4294967296.0::DOUBLE) AS draw
     FROM sized JOIN wanted ON sized.source IS NOT DISTINCT FROM wanted.source
 )

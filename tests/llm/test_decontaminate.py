@@ -92,3 +92,14 @@ def test_exact_copies_of_items_that_are_mostly_slots(spark):
     items = spark.createDataFrame(rows, "item_id bigint, text string")
     texts = ["table: " + rows[0][1] + " end", rows[0][1].replace("30", "31"), "1) " + rows[2][1] + "."]
     assert found(spark, items, texts) == [(0, 1, True), (2, 3, True)]
+
+
+@pytest.mark.parametrize("ids", [(1, 2), (1, 1), (None, None)])
+def test_items_with_equal_or_missing_ids_stay_apart(spark, ids):
+    words = [f"word{k}" for k in range(60)]
+    texts = [" ".join(words[:30]), " ".join(words[30:])]
+    items = spark.createDataFrame(list(zip(ids, texts)), "item_id bigint, text string")
+    # Parts of two items are neither of them.
+    parts = " ".join(words[:9] + ["between"] + words[50:])
+    assert found(spark, items, [parts]) == []
+    assert len(found(spark, items, [parts, texts[0], texts[1]])) == 2

@@ -60,3 +60,13 @@ def test_edge_cases(spark):
         (0, 1, 40001), (1, 0, 0), (2, 0, 4), (3, 2, 4), (3, 2, 4), (4, 40000, 40001),
     ]
     assert mixed_sizes(df.limit(0)).count() == 0 and mixture(df.limit(0)).count() == 0
+
+
+def test_rows_without_ids_draw_apart(spark):
+    """Targets are met when ids are missing or shared."""
+    for ids in (None, 7):
+        rows = [(ids, f"{i} " + "w " * 7, "a" if i % 2 else "b") for i in range(4000)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        sizes = mixed_sizes(df, how=Mixing(weights=(3, 1)))
+        for r in sizes.groupBy("target").agg(F.sum("taken").alias("taken")).collect():
+            assert r.taken == pytest.approx(r.target, rel=0.05)
