@@ -46,11 +46,14 @@ def cents(c: Column) -> Column:
 def money_sum(c: Column, places: int = 6) -> Column:
     """Sum of amounts as they are, to `places` decimals, the same for every partitioning.
 
-    NaN counts as missing. The sum has 38 digits; what is beyond them is an error under ANSI
-    rules and null without, never a wrapped number.
+    NaN counts as missing. An infinite amount makes the sum infinite, two of opposite signs NaN.
+    The sum has 38 digits; what is beyond them is an error under ANSI rules and null without,
+    never a wrapped number.
     """
-    amount = nan_to_null(c.cast("double")).cast(f"decimal(38,{places})")
-    return F.sum(amount).cast("double")
+    amount = nan_to_null(c.cast("double"))
+    endless = F.abs(amount) == float("inf")
+    finite = F.when(~endless, amount).cast(f"decimal(38,{places})")
+    return F.coalesce(F.sum(F.when(endless, amount)), F.sum(finite).cast("double"))
 
 
 def money_text(c: Column) -> Column:

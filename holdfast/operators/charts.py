@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def density(df: DataFrame, column: str, bins: int = 30, points: int = 200) -> DataFrame:
     """(point, x, y): Gaussian density curve, scaled to lie on a histogram with `bins` bins.
 
-    Bandwidth is the sample deviation times n^(-1/5). Equal values are counted first, so
-    the work is `points` kernels per distinct value. Without spread there is no curve.
+    Bandwidth is the sample deviation times n^(-1/5). Equal values are counted first; the
+    `points` kernel sums are one aggregate of fixed width, so no value is copied and a task
+    sends one row. Without spread there is no curve.
     """
     values = _known(df, column)
     stats = values.agg(
@@ -87,17 +90,30 @@ def density(df: DataFrame, column: str, bins: int = 30, points: int = 200) -> Da
         )
     ).scalar()
     span = F.col("s.high") - F.col("s.low")
-    at = F.col("s.low") + F.col("point") * (span / F.lit(points - 1))
-    kernel = F.exp(F.pow((at - F.col("v")) / F.col("s.width"), F.lit(2.0)) * F.lit(-0.5))
-    scale = span / F.lit(bins) / F.sqrt(F.lit(2.0) * F.pi()) / F.col("s.width")
-    return (
+    # The curve's points and each value, in bandwidths from the smallest value.
+    step = span / F.lit(points - 1) / F.col("s.width")
+    place = (F.col("v") - F.col("s.low")) / F.col("s.width")
+
+    def kernel(point: Column) -> Column:
+        away = point * step - place
+        return F.exp(away * away * F.lit(-0.5))
+
+    kernels = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), kernel)
+    sums = (
         values.groupBy(F.col("x").alias("v"))
-        .agg(F.count(F.lit(1)).alias(ROWS))
+        .agg(F.count(F.lit(1)).cast("double").alias(ROWS))
         .withColumn("s", stats)
         .where(F.col("s.width") > 0)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("point")
-        .agg(F.max(at).alias("x"), (F.sum(F.col(ROWS) * kernel) * F.max(scale)).alias("y"))
+        .select("s", ROWS, array_to_vector(kernels).alias("kernels"))
+        .groupBy("s")
+        .agg(Summarizer.sum(F.col("kernels"), F.col(ROWS)).alias("sums"))
+    )
+    scale = span / F.lit(bins) / F.sqrt(F.lit(2.0) * F.pi()) / F.col("s.width")
+    # One row with all points becomes a row for each.
+    return sums.select("s", F.posexplode(vector_to_array("sums")).alias("point", "y")).select(
+        "point",
+        (F.col("s.low") + F.col("point") * (span / F.lit(points - 1))).alias("x"),
+        (F.col("y") * scale).alias("y"),
     )
 
 

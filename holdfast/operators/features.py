@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.hashing import hash_uniform
 from holdfast.operators.ordered import in_chunks, running_totals
 from holdfast.schema import CATEGORIES, KEY, LEFT, MEASURES, STAYED, TARGET
+from holdfast.session import cut_lineage
 
 FEATURES = [*MEASURES, *(f"{c}_index" for c in CATEGORIES)]
 SEED = 42
@@ -27,8 +28,8 @@ def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, label, n, index): labels by falling frequency, ties in alphabetical order.
 
-    All columns are counted in one scan. The rank is a running count over ranges of (frequency, label), so no task sees all
-    labels of a column.
+    All columns are counted in one scan. The rank is a running count over ranges of
+    (frequency, label), so no task sees all labels of a column.
     """
     counts = (
         df.unpivot([], list(columns), "column", "label")
@@ -48,36 +49,58 @@ def category_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def with_joined_index(
-    df: DataFrame, column: str, frequent: int = 1000, key: str = KEY
+    df: DataFrame, columns: str | Sequence[str], frequent: int = 1000, key: str = KEY
 ) -> DataFrame:
-    """Adds ``<column>_index`` by joins, for a column whose labels are too many for a model.
-
-    The `frequent` most frequent labels are broadcast; every other label has fewer than one
-    row in `frequent`, so the shuffled join that finds those meets no hot label. Rows that
-    need no second look are spread by the hash of their key.
+    """Adds ``<column>_index`` for each column by joins, whatever the number of its labels.
+
+    One dictionary holds the labels of all columns; it is counted in one pass over `df`, written
+    once, and none of it passes through the driver but the number of labels per column. The
+    `frequent` most frequent labels of a column are broadcast. Only a column that has more
+    needs a shuffled join for the others, and as each of these has fewer than one row in
+    `frequent`, that join meets no hot label. Rows that need no second look are spread
+    by the hash of their key. Null gets the index after the last label.
     """
-    labels = category_labels(df, [column]).select("label", "index")
-    extra = labels.agg(F.count(F.lit(1)).cast("double")).scalar()
+    names = [columns] if isinstance(columns, str) else list(columns)
+    labels = cut_lineage(category_labels(df, names))
+    sizes = {
+        r["column"]: r["n"]
+        for r in labels.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
+    # The caller's columns stay in one struct, so that no helper's name can meet theirs.
+    packed = df.select(
+        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+        F.xxhash64(key).cast("string").alias("spread"),
+    )
+    for i, name in enumerate(names):
+        packed = _looked_up(
+            packed.withColumn("value", F.col("row").getField(name)),
+            labels.where(F.col("column") == name).select("label", "index"),
+            frequent,
+            sizes.get(name, 0),
+        ).select("row", "spread", *(f"index{j}" for j in range(i)), F.col("index").alias(f"index{i}"))
+    return packed.select(
+        "row.*", *(F.col(f"index{i}").alias(f"{name}_index") for i, name in enumerate(names))
+    )
+
+
+def _looked_up(packed: DataFrame, labels: DataFrame, frequent: int, size: int) -> DataFrame:
+    """`packed` with the index of its column `value`; `labels` (label, index) has `size` rows."""
     top = labels.where(F.col("index") < frequent).select(
         F.col("label").alias("value"), F.col("index").alias("top_index")
     )
+    extra = F.lit(float(size))
+    met = packed.join(F.broadcast(top), "value", "left")
+    if size <= frequent:
+        return met.withColumn("index", F.coalesce("top_index", extra))
     rest = labels.where(F.col("index") >= frequent).select(
         F.lit(True).alias("open"), F.col("label").alias("probe"), F.col("index").alias("rest_index")
     )
-    # The caller's columns stay in one struct, so that no helper's name can meet theirs.
-    packed = df.select(
-        F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
-        F.col(column).alias("value"),
-        F.xxhash64(key).cast("string").alias("spread"),
-    )
     is_open = F.col("top_index").isNull() & F.col("value").isNotNull()
-    index = F.coalesce("top_index", "rest_index", extra).alias(f"{column}_index")
     return (
-        packed.join(F.broadcast(top), "value", "left")
-        .withColumn("open", is_open)
+        met.withColumn("open", is_open)
         .withColumn("probe", F.when(F.col("open"), F.col("value")).otherwise(F.col("spread")))
         .join(rest, ["open", "probe"], "left")
-        .select("row.*", index)
+        .withColumn("index", F.coalesce("top_index", "rest_index", extra))
     )
 
 

@@ -73,20 +73,36 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, count, unique, top, freq); the smallest of equally frequent values is on top."""
-    counts = (
-        df.unpivot([], list(columns), "column", "text")
-        .groupBy("column", "text")
-        .agg(F.count("text").alias(ROWS))
-    )
-    return counts.groupBy("column").agg(
+    """(column, count, unique, top, freq); the smallest of equally frequent values is on top.
+
+    Values are counted by a digest of 128 bits, so that no text is shuffled to be counted (texts
+    with equal digests would count as one). Only the texts of each column's most frequent
+    digests are looked up, in a second pass over `df`; where nothing repeats, the top is
+    the column's smallest text.
+    """
+    tall = df.unpivot([], list(columns), "column", "text")
+    digest = F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second half"), "text"))
+    marked = tall.withColumn("digest", F.when(F.col("text").isNotNull(), digest))
+    counts = marked.groupBy("column", "digest").agg(F.count("text").alias(ROWS))
+    facts = counts.groupBy("column").agg(
         F.sum(ROWS).alias("count"),
-        F.count("text").alias("unique"),
-        F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(-F.col(ROWS), "text"))).alias(
-            "top"
-        ),
+        F.count("digest").alias("unique"),
         F.nullif(F.max(ROWS), F.lit(0)).alias("freq"),
     )
+    repeated = facts.where("freq > 1").select("column", F.col("freq").alias(ROWS))
+    leading = counts.join(F.broadcast(repeated), ["column", ROWS]).select("column", "digest")
+    # Few digests are broadcast by their measured size; many are all equally rare.
+    # Their texts are made distinct by hash first: a smallest text per group needs a sort.
+    tops = marked.join(leading, ["column", "digest"], "left_semi").select("column", "text")
+    tops = tops.distinct().groupBy("column").agg(F.min("text").alias("top"))
+    least = df.agg(*(F.min(c).alias(c) for c in columns))
+    least = least.unpivot([], list(columns), "column", "least")
+    # One row per column on both sides.
+    return (
+        facts.join(F.broadcast(least), "column")
+        .join(F.broadcast(tops), "column", "left")
+        .select("column", "count", "unique", F.coalesce("top", "least").alias("top"), "freq")
+    )
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -382,6 +382,13 @@ def category_index(spark, sf_dir):
     return indexed.select(KEY, *(f"{c}_index" for c in names))
 
 
+@report
+def category_index_joined(spark, sf_dir):
+    names = [*CATEGORIES, TARGET]
+    indexed = features.with_joined_index(cut_lineage(cleaned(spark, sf_dir)), names)
+    return indexed.select(KEY, *(f"{c}_index" for c in names))
+
+
 @report
 def assembled_features(spark, sf_dir):
     # Median, index and vector all read the rows: written once.

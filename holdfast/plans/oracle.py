@@ -615,3 +615,6 @@ ORACLE: dict[str, str] = {
           sum(value::DECIMAL(28,6))::DOUBLE AS usage_value
         FROM events GROUP BY ALL""",
 }
+
+# The same rows by another way.
+ORACLE["category_index_joined"] = ORACLE["category_index"]

@@ -105,7 +105,8 @@ def order_history(orders: DataFrame) -> DataFrame:
         F.sum(cents(F.col("o_totalprice"))).alias("total"),
         F.max(packed).alias("last"),
     )
-    last = (F.col("last") % 100).cast("int")
+    # Never negative, also for orders before 1970.
+    last = F.pmod(F.col("last"), F.lit(100)).cast("int")
     return history.select(
         "o_custkey",
         "first_order",

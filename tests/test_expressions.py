@@ -90,6 +90,14 @@ def test_money_never_wraps(spark, ansi):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+def test_infinite_amounts_are_not_left_out(spark):
+    inf = math.inf
+    for rows, total in (([inf, 1.0], inf), ([-inf, 2.0, NAN, None], -inf), ([1.5, NAN], 1.5)):
+        assert values(column(spark, rows, "double").agg(money_sum(F.col("x")))) == [(total,)]
+    both = column(spark, [inf, -inf], "double").agg(money_sum(F.col("x")))
+    assert math.isnan(values(both)[0][0])
+
+
 def test_mask_has_no_nulls(spark):
     df = spark.createDataFrame([("a", "b"), ("a", None), (None, "c")], "p string, q string")
     got = df.select(both_equal(F.col("p"), "a", F.col("q"), "b").alias("m"))

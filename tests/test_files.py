@@ -11,7 +11,7 @@ from holdfast.schema import SCORE, SUBSCRIBER
 from holdfast.session import cut_lineage, fresh_dir, shared_root, written_tables
 from holdfast.sources.readers import read_csv, read_csv_tokens
 from holdfast.sources.sinks import read_day, write_csv, write_day, write_result
-from holdfast.sources.subscribers import subscribers
+from holdfast.sources.subscribers import order_history, subscribers
 
 
 def test_shared_folder_is_the_one_the_session_names(spark, people):
@@ -121,3 +121,15 @@ def test_scans_read_only_what_a_report_needs(spark):
     assert "o_totalprice" not in plan.split("Physical Plan")[1]
     count = subscribers(spark, MEDIUM).groupBy().count()._jdf.queryExecution().toString()
     assert "orders.parquet" not in count.split("Physical Plan")[1]
+
+
+def test_last_order_before_1970(spark):
+    rows = [(1, 5, "1965-02-01", 3.0, "O", "5-LOW"), (1, 6, "1964-02-01", 3.0, "F", "1-URGENT"),
+            (2, 7, "1970-01-01", 1.0, "P", "2-HIGH"), (2, 8, "1969-12-31", 1.0, "F", "5-LOW")]
+    orders = spark.createDataFrame(
+        rows,
+        "o_custkey bigint, o_orderkey bigint, o_orderdate string, o_totalprice double,"
+        " o_orderstatus string, o_orderpriority string",
+    ).withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    got = order_history(orders).select("o_custkey", "last_status", "last_priority")
+    assert sorted(values(got)) == [(1, "O", "5-LOW"), (2, "P", "2-HIGH")]

@@ -51,6 +51,23 @@ def test_joined_index_equals_the_indexer(spark, people, frequent):
     assert joined.columns == fitted.columns
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_joined_index_of_all_columns_equals_the_indexer(spark, people, frequent):
+    clean = clean_zero(people).withColumn("Churn", F.when(F.col(KEY) != "7", F.col("Churn")))
+    names = [*CATEGORIES, TARGET] if frequent == 1000 else ["Contract", "PaymentMethod", TARGET]
+    joined = features.with_joined_index(clean, names, frequent)
+    fitted = features.with_category_index(clean, names)
+    assert joined.columns == fitted.columns
+    assert sorted(map(str, values(joined))) == sorted(map(str, values(fitted)))
+
+
+def test_joined_index_of_a_column_without_labels(spark):
+    df = spark.createDataFrame([("1", None, "x"), ("2", None, "y")], f"{KEY} string, a string, b string")
+    got = values(features.with_joined_index(df, ["a", "b"]).orderBy(KEY), "a_index", "b_index")
+    assert got == [(0.0, 0.0), (0.0, 1.0)]
+    assert values(features.with_joined_index(df.limit(0), ["a", "b"])) == []
+
+
 def test_unseen_labels_share_the_extra_index(spark):
     seen = spark.createDataFrame([("a",), ("b",), ("a",)], "c string")
     model = features.category_indexer(["c"]).fit(seen)

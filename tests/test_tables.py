@@ -85,6 +85,27 @@ def test_top_of_a_tie_is_the_smallest(spark):
     assert (row.top, row.freq, row["unique"]) == ("a", 2, 3)
 
 
+def test_text_profile_of_ties_gaps_and_single_values(spark):
+    rows = [("b", "p", None, "z"), ("b", "q", None, ""), ("a", "r", None, None), ("a", "s", None, "z"),
+            (None, "o", None, "")]
+    df = spark.createDataFrame(rows, "two string, once string, none string, empty string")
+    got = {r["column"]: tuple(r)[1:] for r in profiling.text_profile(df, df.columns).collect()}
+    assert got == {
+        "two": (4, 2, "a", 2), "once": (5, 5, "o", 1), "none": (0, 0, None, None),
+        "empty": (4, 2, "", 2),
+    }
+
+
+def test_text_profile_shuffles_no_text(spark):
+    df = spark.range(1000).selectExpr("cast(id % 7 as string) as t", "repeat('x', 50) as u")
+    counts = profiling.text_profile(df, ["t", "u"])
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    lines = counts._jdf.queryExecution().explainString(mode).splitlines()
+    moved = [lines[i + 1] for i, line in enumerate(lines) if ") Exchange" in line]
+    by_digest = [line for line in moved if "digest" in line]
+    assert by_digest and not any("text" in line for line in by_digest)
+
+
 def test_numeric_profile_after_cleaning(spark):
     df = spark.createDataFrame([(" ",), ("10",), ("20",)], "TotalCharges string")
     row = profiling.describe_numeric(cleaning.clean_zero(df), "TotalCharges").first()
@@ -144,6 +165,13 @@ def test_density_has_the_area_of_its_histogram(spark):
     assert y[100] == pytest.approx(exact, rel=1e-9)
 
 
+def test_density_copies_no_values(spark):
+    df = spark.range(50).selectExpr("cast(id as double) as x")
+    plan = charts.density(df, "x")._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Aggregate")
+    assert "Generate" in above and "Generate" not in below
+
+
 def test_density_without_spread_is_empty(spark):
     df = spark.createDataFrame([(4.0,), (4.0,)], "x double")
     assert values(charts.density(df, "x")) == []
