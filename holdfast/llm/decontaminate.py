@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.bloom import bloom_filter
 from holdfast.llm.text import buffers, mix, runs, slices, words
 
 # English number words and units of measure that become placeholders.
@@ -66,8 +67,9 @@ _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3))
 class Decontaminate:
     """`window` words per template window; a document is reported for an item if it covers
     `enough` words of it, or the share `share` of a shorter item. Window hashes of the
-    benchmark are sent to all tasks only while they number at most `sent` (8 bytes each);
-    beyond that all windows of the documents are shuffled to the join.
+    benchmark are sent to all tasks while they number at most `sent` (8 bytes each); beyond
+    that a Bloom filter of them is sent instead, of 2 bytes each and at most `filter_bytes`
+    in all. Only windows of the documents that pass are shuffled to the join.
     """
 
     window: int = 8
@@ -76,6 +78,7 @@ class Decontaminate:
     enough: int = 13
     share: float = 0.7
     sent: int = 1_000_000
+    filter_bytes: int = 1 << 26
 
 
 def _of(vocabulary: list[str]) -> np.ndarray:
@@ -178,20 +181,21 @@ def _item_windows(how: Decontaminate):
 OF_ITEM = ["item", "item_hash", "total"]
 
 
-def _doc_windows(lengths: list[int], known):
+def _doc_windows(lengths: list[int], known, exact: bool):
+    """Windows that the broadcast `known` holds: sorted hashes if `exact`, else a filter."""
     names = ["doc", "text_hash", "place", "hash", "slots"]
 
     def windows(batches):
+        sent = known.value
+        holds = (lambda hashes: _among(hashes, sent)) if exact else sent.holds
         for part in slices(batches, "text"):
             found, kinds = templates(part.column("text"))
             owner = found.texts()
             for length in lengths:
                 for kind, (template, _) in enumerate(kinds):
                     hashes = _salted(runs(template, length), length, kind)
-                    one = owner[: len(hashes)] == owner[length - 1 :]
-                    if known is not None:
-                        one &= _among(hashes, known.value)
-                    at = np.flatnonzero(one)
+                    at = np.flatnonzero(owner[: len(hashes)] == owner[length - 1 :])
+                    at = at[holds(hashes[at])]
                     if len(at):
                         ids = ["doc", "text_hash"]
                         columns = _rows(ids, found, at, hashes[at], length, part)
@@ -231,11 +235,14 @@ def contaminated(
     )
     kinds = items.groupBy(F.size("slots").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()
     lengths = sorted(r["n"] for r in kinds)
-    known = None
-    if sum(r["rows"] for r in kinds) <= how.sent:
+    n_windows = sum(r["rows"] for r in kinds)
+    exact = n_windows <= how.sent
+    if exact:
         rows = items.select("hash").distinct().toPandas()
-        hashes = np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
-        known = spark.sparkContext.broadcast(hashes)
+        known = np.sort(rows["hash"].to_numpy(np.int64).view(np.uint64))
+    else:
+        known = bloom_filter(items, "hash", n_windows, how.filter_bytes)
+    known = spark.sparkContext.broadcast(known)
     found = (
         docs.select(
             F.col(id_column).cast("bigint").alias("doc"),
@@ -244,7 +251,7 @@ def contaminated(
         )
         .where("text is not null")
         .mapInArrow(
-            _doc_windows(lengths, known),
+            _doc_windows(lengths, known, exact),
             "doc bigint, text_hash bigint, place int, hash bigint, slots array<bigint>",
         )
     )

@@ -26,8 +26,8 @@ def found(spark, items, texts, **how):
 FILL = "some words come first in this text and "
 
 
-@pytest.mark.parametrize("sent", [1_000_000, 0])
-def test_passages(spark, items, sent):
+@pytest.mark.parametrize("sent, filter_bytes", [(1_000_000, 1), (0, 1 << 26), (0, 1)])
+def test_passages(spark, items, sent, filter_bytes):
     texts = [
         FILL + ITEM + " more follows",
         FILL + ITEM.replace("12", "77").replace("Tom", "Ann").replace("30", "8"),
@@ -40,7 +40,7 @@ def test_passages(spark, items, sent):
         None,
         "",
     ]
-    got = found(spark, items, texts, sent=sent)
+    got = found(spark, items, texts, sent=sent, filter_bytes=filter_bytes)
     assert (0, 1, True) in got
     assert (1, 1, False) in got
     assert (3, 2, True) in got
