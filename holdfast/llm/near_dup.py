@@ -42,17 +42,19 @@ class NearDup:
     """`words` per shingle; texts at or above `similarity` are linked.
 
     At similarity 0.8 a pair shares no band with probability
-    (1 - 0.8**rows)**bands = 3e-6 for the defaults. `weight` is "set" (each distinct shingle
-    counts one: plain Jaccard) or "count" (as often as it occurs). Each bucket
-    first compares one member with the rest. The texts of buckets that are not connected by
-    that are joined exactly, by prefix filtering, so none of their links is lost.
+    (1 - 0.8**rows)**bands = 3e-6 for the defaults. `weight` is "count" (a shingle weighs as
+    often as it occurs: weighted Jaccard) or "set" (each distinct shingle weighs one). Each
+    bucket first compares one member with the rest. The texts of buckets that are not connected
+    by that are joined exactly, by prefix filtering, so none of their links is lost. An element
+    that many of these texts have is joined in slices of some `slice` texts.
     """
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 5
-    weight: str = "set"
+    weight: str = "count"
+    slice: int = 512
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -246,6 +248,8 @@ def _missed(nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     first. Of two sets that are similar enough, the larger has one of the smaller's first
     few elements among its own first few. Elements that one set alone has come first and
     match nothing, so an edited copy is compared with those texts only that share its edits.
+    The larger sets of a frequent element are spread over slices, each of which meets all of the
+    smaller ones, so that no task compares a family with itself alone.
     """
     t = how.similarity
     own = sets.join(nodes, "node")
@@ -269,16 +273,19 @@ def _missed(nodes: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
         shared.join(facts.where("wide > 0"), "node")
         .withColumn("rank", F.row_number().over(order))
         .where("rank <= wide")
-        .select(
-            "term", "node", "part", "mass", "odd", (F.col("rank") <= F.col("narrow")).alias("near")
-        )
+        .withColumn("near", F.col("rank") <= F.col("narrow"))
+        .withColumn("slices", F.ceil(F.col("n") / how.slice))
+        .select("term", "node", "part", "mass", "odd", "near", "slices")
     )
-    names = {"node": "a", "part": "pa", "mass": "ma", "odd": "oa"}
-    small = first.where("near").drop("near").withColumnsRenamed(names)
+    names = {"node": "a", "part": "pa", "mass": "ma", "odd": "oa", "term": "of"}
+    every = F.explode(F.sequence(F.lit(1), "slices"))
+    small = first.where("near").withColumn("to", every).withColumnsRenamed(names)
     names = {"node": "b", "part": "pb", "mass": "mb", "odd": "ob"}
-    large = first.drop("near").withColumnsRenamed(names)
+    at = F.pmod(F.xxhash64("node"), "slices") + 1
+    large = first.withColumn("at", at).withColumnsRenamed(names)
     fits = (F.col("pa") != F.col("pb")) & (F.col("ma") <= F.col("mb")) & _may_match(how)
-    met = small.withColumnRenamed("term", "of").join(large, (F.col("of") == F.col("term")) & fits)
+    same = (F.col("of") == F.col("term")) & (F.col("to") == F.col("at"))
+    met = small.drop("near", "slices").join(large.drop("near", "slices"), same & fits)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -319,12 +326,11 @@ def _classes(rows: DataFrame, how: NearDup) -> DataFrame:
         .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     )
     wanted = members.select("node").distinct().join(texts.select("node", "doc"), "node")
-    # Of equal texts the row with the smallest id is read, repeated rows once.
-    source = (
-        rows.join(wanted.withColumnRenamed("doc", "least"), "node")
-        .where(F.col("doc").eqNullSafe(F.col("least")))
-        .select("node", "text")
-    )
+    wanted = wanted.withColumnsRenamed({"node": "of", "doc": "least"})
+    # Of equal texts the row with the smallest id is read, repeated rows once. The id is a key
+    # of the join, so that the copies of one text do not meet in one task.
+    own = (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("least"))
+    source = rows.join(wanted, own, "left_semi").select("node", "text")
     fields = "node bigint, shingles array<bigint>, odd array<bigint>"
     sets = source.mapInArrow(_sets(how), fields)
     sets = cut_lineage(sets.dropDuplicates(["node"]).join(texts.select("node", "mass"), "node"))
@@ -398,15 +404,12 @@ def one_of_each(
     # Null ids come last.
     order = F.struct(F.col("doc").isNull().alias("none"), "doc", "node")
     first = classes.groupBy("part").agg(F.min(order).alias("first"))
-    first = first.select(F.col("first.node").alias("node"), F.col("first.doc").alias("least"))
+    first = first.select(F.col("first.node").alias("of"), F.col("first.doc").alias("least"))
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_column).cast("bigint").alias("doc"),
         _node(text_column).alias("node"),
     )
-    kept = (
-        packed.join(first, "node")
-        .where(F.col("doc").eqNullSafe(F.col("least")))
-        .dropDuplicates(["node"])
-    )
+    own = (F.col("node") == F.col("of")) & F.col("doc").eqNullSafe(F.col("least"))
+    kept = packed.join(first, own, "left_semi").dropDuplicates(["node"])
     return kept.select("row.*").unionByName(packed.where("node is null").select("row.*"))

@@ -1,7 +1,7 @@
 """Near duplicates against brute force, and the signatures' promise."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,15 +10,18 @@ from conftest import MEDIUM
 from holdfast.llm.near_dup import NearDup, dart_minhash, near_duplicates, one_of_each
 
 
-def shingled(text):
+def shingled(text, weight="count"):
+    """Shingles of a text; one that occurs n times stands for n elements under "count"."""
     words = (text or "").split()
-    if len(words) < 5:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    if not words:
+        return set()
+    size = min(5, len(words))
+    often = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    return {(g, k) for g, n in often.items() for k in range(n if weight == "count" else 1)}
 
 
-def brute_classes(rows, t=0.8):
-    sets = [shingled(text) for _, text in rows]
+def brute_classes(rows, t=0.8, weight="count"):
+    sets = [shingled(text, weight) for _, text in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -63,13 +66,31 @@ def test_a_large_family_equals_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(family(160))]
     rows += [(1000 + i, " ".join(f"x{i}_{k}" for k in range(60))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert classes(near_duplicates(df)) == brute_classes(rows)
+    want = brute_classes(rows)
+    assert classes(near_duplicates(df)) == want
+    # Frequent elements in many slices.
+    assert classes(near_duplicates(df, how=NearDup(slice=4))) == want
 
 
-def test_documents_equal_brute_force(spark):
+@pytest.mark.parametrize("weight", ["count", "set"])
+def test_documents_equal_brute_force(spark, weight):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
-    assert classes(near_duplicates(docs)) == brute_classes(rows)
+    got = classes(near_duplicates(docs, how=NearDup(weight=weight)))
+    assert got == brute_classes(rows, weight=weight)
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    # Texts of one passage many times over, with edits: plain sets would take them for one.
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(25)]
+    rows = []
+    for i in range(80):
+        words = passage * (1 + i % 6) + [f"q{i % 9}_{k}" for k in range(rng.randrange(30))]
+        rows.append((i, edited(words, 0.004 * (i % 5), i)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert classes(near_duplicates(df)) == brute_classes(rows)
+    assert brute_classes(rows) != brute_classes(rows, weight="set")
 
 
 def test_edge_cases(spark):
@@ -109,6 +130,17 @@ def test_counting_repeats_tells_texts_apart(spark):
     line = " ".join(f"w{k}" for k in range(40))
     df = spark.createDataFrame([(1, line), (2, f"{line} {line} {line}")], "doc_id bigint, text string")
     assert len(classes(near_duplicates(df, how=NearDup(weight="count")))) == 2
+    assert len(classes(near_duplicates(df, how=NearDup(weight="set")))) == 1
+
+
+def test_copies_of_one_text_with_and_without_ids(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, text, 1)] * 40 + [(i, text, 2) for i in range(3, 40)] + [(99, text + " end", 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, of int").repartition(5)
+    got = near_duplicates(df).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(3, 78)} and len(got) == 78
+    kept = one_of_each(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(3, text, 2)]
 
 
 @pytest.mark.parametrize("weighted", [False, True])
