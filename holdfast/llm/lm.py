@@ -8,9 +8,11 @@ out of the counts and predicted from the rest.
 
 The work is cut into blocks of documents, written once. Each block asks for the counts of
 its distinct words and word pairs, in packed lists by range of their hash; a range adds up
-what all blocks know and answers each block. So a frequent word weighs one entry per block,
-ranges stay small because their number grows with the corpus, and nothing but the histogram
-that the weights are learned from (bounded by its bins) reaches the driver.
+what all blocks know and answers each block. So a frequent word weighs one entry per block and
+ranges stay small because their number grows with the corpus. A range that more than `fan`
+blocks ask is added up by teams of blocks first, then over the teams, and answered the same
+way back, so no task holds the entries of all blocks. Nothing but the histogram that the
+weights are learned from (bounded by its bins) reaches the driver.
 
 Cases: null texts are empty, and have their end as only token. Repeated rows each count. A
 null id belongs to no held-out part unless the caller's column says so. Without training
@@ -42,10 +44,13 @@ FINE, BINS, BUCKETS = 4, 256, 48
 
 @dataclass(frozen=True)
 class Model:
-    """`block` tokens or so per block; `range_tokens` tokens of the corpus per hash range."""
+    """`block` tokens or so per block; `range_tokens` tokens of the corpus per hash range; some
+    `fan` blocks per team where a range is asked by more.
+    """
 
     block: int = 500_000
     range_tokens: int = 2_000_000
+    fan: int = 4096
     rounds: int = 200
 
 
@@ -220,33 +225,87 @@ def _ask(parts: int):
     return ask
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """All blocks' counts of one range added up, and each block's answer."""
-    rows = table.to_pylist()
+def _listed(rows: list[dict], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some entries in order, their summed counts, and where each key went."""
     keys = np.concatenate([_unpack_sorted(r["keys"], r["n"]) for r in rows])
-    counts = np.concatenate([_unpack(r["counts"], r["n"], "u4") for r in rows]).astype(np.int64)
+    counts = np.concatenate([_unpack(r["counts"], r["n"], kind) for r in rows]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
-    total = np.add.reduceat(counts[order], np.flatnonzero(new))
-    every = np.empty(len(keys), np.int64)
-    every[order] = total[np.cumsum(new) - 1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return keys[order][new], np.add.reduceat(counts[order], np.flatnonzero(new)), at
+
+
+def _replies(rows: list[dict], every: np.ndarray, types: int, total: int) -> pa.Table:
+    """The counts `every` cut into one answer per entry; the first carries the range's sums."""
     out, at = [], 0
     for r in rows:
-        out.append(
-            {
-                "kind": r["kind"],
-                "part": r["part"],
-                "block": r["block"],
-                "n": r["n"],
-                "counts": _pack(every[at : at + r["n"]]),
-                "types": int((total > 0).sum()) if not at else 0,
-                "total": int(total.sum()) if not at else 0,
-            }
-        )
+        own = {name: r[name] for name in ("kind", "part", "block", "n")}
+        sums = {"types": 0 if at else types, "total": 0 if at else total}
+        out.append(own | sums | {"counts": _pack(every[at : at + r["n"]])})
         at += r["n"]
     return pa.Table.from_pylist(out, schema=_schema(ANSWER))
 
 
+def _answer(kind: str):
+    """All counts of one range added up, and the answer to each entry."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, total, at = _listed(rows, kind)
+        return _replies(rows, total[at], int((total > 0).sum()), int(total.sum()))
+
+    return answer
+
+
+def _team_sum(table: pa.Table) -> pa.Table:
+    """One range's entries of a team of blocks as one entry, in the team's name."""
+    rows = table.to_pylist()
+    keys, counts, _ = _listed(rows, "u4")
+    one = {
+        "kind": rows[0]["kind"],
+        "part": rows[0]["part"],
+        "block": rows[0]["team"],
+        "n": len(keys),
+        "keys": _pack_sorted(keys),
+        "counts": _pack(counts),
+    }
+    return pa.Table.from_pylist([one], schema=_schema(ASKED))
+
+
+def _team_answer(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answer to a team handed on to its blocks."""
+    rows, said = asked.to_pylist(), answers.to_pylist()[0]
+    _, _, at = _listed(rows, "u4")
+    counts = _unpack(said["counts"], said["n"], "i8")
+    return _replies(rows, counts[at], said["types"], said["total"])
+
+
+def _answers(blocks: DataFrame, parts: int, how: Model) -> DataFrame:
+    """Each block's answers, one for each range that it asks."""
+    asked = blocks.mapInArrow(_ask(parts), ASKED)
+    teams = -(-blocks.count() // how.fan)
+    if teams <= 1:
+        return cut_lineage(asked.groupBy("kind", "part").applyInArrow(_answer("u4"), ANSWER))
+    team = F.pmod(F.xxhash64("block"), F.lit(teams)).cast("bigint")
+    asked = cut_lineage(asked.withColumn("team", team))
+    asking = asked.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"))
+    # A busy range meets its entries team by team.
+    busy = asking.where(F.col("n") > how.fan).select(
+        "kind", "part", F.explode(F.sequence(F.lit(0), F.lit(teams - 1))).cast("bigint").alias("team")
+    )
+    busy = cut_lineage(busy)
+    key = ["kind", "part", "team"]
+    calm = asked.join(busy, key, "left_anti").drop("team")
+    calm = calm.groupBy("kind", "part").applyInArrow(_answer("u4"), ANSWER)
+    asked = asked.join(busy, key, "left_semi")
+    sums = cut_lineage(asked.groupBy(*key).applyInArrow(_team_sum, ASKED))
+    said = sums.groupBy("kind", "part").applyInArrow(_answer("i8"), ANSWER)
+    said = said.withColumnRenamed("block", "team")
+    told = asked.groupBy(*key).cogroup(said.groupBy(*key)).applyInArrow(_team_answer, ANSWER)
+    return cut_lineage(calm.unionByName(told))
+
+
 def _counted(block: _Block, answers: pa.Table, opened: int):
     """Training counts of each token, its pair and its predecessor."""
     rows = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["part"]))
@@ -371,8 +430,7 @@ def scores(
     blocks = cut_lineage(rows.mapInArrow(_blocks(how), BLOCK))
     tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     parts = 1 + tokens // how.range_tokens
-    asked = blocks.mapInArrow(_ask(parts), ASKED)
-    answers = cut_lineage(asked.groupBy("kind", "part").applyInArrow(_answer, ANSWER))
+    answers = _answers(blocks, parts, how)
     known = answers.where("kind = 1").agg(F.sum("types"), F.sum("total")).first()
     types, total = known[0] or 0, known[1] or 0
     opened = rows.where(~F.col("out")).count()

@@ -29,7 +29,9 @@ def rows(n=200):
     return [(i, t) for i, t in enumerate(texts)] + [(n, None), (n + 1, ""), (n + 2, "É unseen")]
 
 
-@pytest.mark.parametrize("how", [lm.Model(), lm.Model(block=50, range_tokens=100)])
+@pytest.mark.parametrize(
+    "how", [lm.Model(block=50, range_tokens=100), lm.Model(block=50, range_tokens=1000, fan=20)]
+)
 def test_scores_equal_a_plain_model(spark, monkeypatch, how):
     data = rows()
     df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
