@@ -9,7 +9,9 @@ posterior good share is below `least`.
 Cases: a null url or one without `://` has empty host and path and is judged by the whole's
 share. A host without labelled pages takes what its domain or suffix says. Labels with a
 null quality and labels without page are left out; a repeated label counts once per row.
-Ties of equally long rules go to the first. Other columns are ignored.
+Ties of equally long rules go to the first. Without labels every page is judged by one half.
+Very long urls are whole. An empty table of pages gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """`least` good share; `z` standard deviations up to the bound; hosts are joined in
-    `salts` parts each, so that no host's pages need to meet in one task.
+    """`least` good share; `z` standard deviations up to the bound; hosts and domains are joined
+    in `salts` parts each, so that neither a host's pages nor a domain's hosts need to meet in
+    one task.
     """
 
     least: float = 0.5
@@ -71,6 +74,32 @@ def domain(name: Column) -> Column:
     )
 
 
+def registered(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """`hosts` (distinct `host`) with `domain` and `suffix`.
+
+    The longest of `suffixes` (a column `suffix`) that ends a host at a label is its suffix, else
+    its last label; the domain has one label more, if there is one. Without a table the
+    suffixes are `LONG_SUFFIXES`.
+    """
+    if suffixes is None:
+        return hosts.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    labels = F.size(F.split("host", r"\."))
+    tails = hosts.select("host", F.explode(F.sequence(F.lit(1), labels)).alias("k")).withColumn(
+        "tail", F.expr("substring_index(host, '.', -k)")
+    )
+    known = suffixes.select(F.col("suffix").alias("tail")).distinct().withColumn("is", F.lit(True))
+    longest = (
+        tails.join(known, "tail", "left")
+        .groupBy("host")
+        .agg(F.coalesce(F.max(F.when(F.col("is"), F.col("k"))), F.lit(1)).alias("k"))
+    )
+    return hosts.join(longest, "host").select(
+        *hosts.columns,
+        F.expr("substring_index(host, '.', -(k + 1))").alias("domain"),
+        F.expr("substring_index(host, '.', -k)").alias("suffix"),
+    )
+
+
 def rule_for(rules: Sequence[Rule]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits columns `host` and `path`."""
     case = None
@@ -103,7 +132,12 @@ def _shrunk(groups: DataFrame) -> tuple[DataFrame, float]:
     return groups.withColumn("posterior", posterior), strength
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def reputations(
+    pages: DataFrame,
+    outcomes: DataFrame,
+    suffixes: DataFrame | None = None,
+    how: Reputation = Reputation(),
+) -> DataFrame:
     """(host, mean, a, b) for every host of `pages` (page, host).
 
     `outcomes` (page, good) holds 0 or 1 per labelled page. `a` and `b` are the parameters of
@@ -112,11 +146,11 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     good = pages.join(outcomes, "page", "left").groupBy("host").agg(
         F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n")
     )
-    hosts = cut_lineage(
-        good.withColumns({"domain": domain(F.col("host")), "suffix": suffix(F.col("host"))})
-    )
+    salt = F.pmod(F.xxhash64("host"), F.lit(how.salts)).cast("int")
+    hosts = cut_lineage(registered(good, suffixes).withColumn("salt", salt))
     sums = [F.sum("good").alias("good"), F.sum("n").alias("n")]
-    domains = cut_lineage(hosts.groupBy("domain", "suffix").agg(*sums))
+    shares = cut_lineage(hosts.groupBy("domain", "suffix", "salt").agg(*sums))
+    domains = cut_lineage(shares.groupBy("domain", "suffix").agg(*sums))
     all_good, all_n = domains.agg(F.sum("good"), F.sum("n")).first()
     whole = ((all_good or 0) + 1) / ((all_n or 0) + 2)
 
@@ -124,8 +158,10 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes, _ = _shrunk(cut_lineage(suffixes))
     above = suffixes.select("suffix", F.col("posterior").alias("mean"))
     domains, _ = _shrunk(cut_lineage(domains.join(above, "suffix")))
+    # A domain meets its shares, each share its part of the domain's hosts.
     above = domains.select("domain", F.col("posterior").alias("mean"))
-    hosts, strength = _shrunk(cut_lineage(hosts.join(above, "domain")))
+    above = shares.select("domain", "salt").join(above, "domain")
+    hosts, strength = _shrunk(cut_lineage(hosts.join(above, ["domain", "salt"])))
     return hosts.select(
         "host",
         F.col("posterior").alias("mean"),
@@ -148,11 +184,12 @@ def judged(
     url_column: str = "url",
     label_column: str = "doc_id",
     how: Reputation = Reputation(),
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, reputation, bound) for every row of `pages`.
 
     A label belongs to the page with its number; a page is good if quality is 1 and toxic
-    is not 1.
+    is not 1. `suffixes` (a column `suffix`) tells where names are registered.
     """
     url = F.col(url_column)
     parts = pages.select(
@@ -162,7 +199,7 @@ def judged(
         F.col(label_column).alias("page"),
         ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int").alias("good"),
     )
-    known = reputations(parts.select("page", "host"), outcomes).select(
+    known = reputations(parts.select("page", "host"), outcomes, suffixes, how).select(
         "host", "mean", upper_bound(how.z).alias("bound")
     )
     spread = known.withColumn(

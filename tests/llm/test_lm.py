@@ -30,7 +30,13 @@ def rows(n=200):
 
 
 @pytest.mark.parametrize(
-    "how", [lm.Model(block=50, range_tokens=100), lm.Model(block=50, range_tokens=1000, fan=20)]
+    "how",
+    [
+        lm.Model(),
+        lm.Model(block=50, range_tokens=100),
+        lm.Model(block=50, range_tokens=100, fan=20),
+        lm.Model(block=50, range_tokens=1000, fan=20),
+    ],
 )
 def test_scores_equal_a_plain_model(spark, monkeypatch, how):
     data = rows()

@@ -46,6 +46,46 @@ def test_domains(spark):
     assert list(map(tuple, got)) == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("", "")]
 
 
+SUFFIXES = ["com", "uk", "co.uk", "io", "github.io", "a.long.jp", "x"]
+
+
+def test_domains_by_a_table_of_suffixes(spark):
+    names = ["a.b.co.uk", "b.co.uk", "co.uk", "uk", "me.github.io", "deep.me.github.io", "github.io"]
+    names += ["other.io", "z.a.long.jp", "long.jp", "b.long.jp", "unknown.zone", "", "x", "..com", "a.."]
+    df = spark.createDataFrame([(n,) for n in names], "host string")
+    rules = spark.createDataFrame([(s,) for s in [*SUFFIXES, "uk", None]], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.registered(df, rules).collect()}
+    for name in names:
+        labels = name.split(".")
+        tails = [".".join(labels[-k:]) for k in range(1, len(labels) + 1)]
+        k = max((k for k, t in enumerate(tails, 1) if t in SUFFIXES), default=1)
+        assert got[name] == (".".join(labels[-k - 1 :]), tails[k - 1])
+
+
+def test_hosts_below_a_shared_suffix_are_apart(spark):
+    rows = [(k, f"http://{'bad' if k % 2 else 'good'}.github.io/{k}") for k in range(80)]
+    said = labels(spark, [(k, int(k % 2 == 0), 0) for k in range(80)])
+    rows += [(100, "http://new.bad.github.io/"), (101, "http://new.good.github.io/")]
+    rules = spark.createDataFrame([("io",), ("github.io",)], "suffix string")
+    got = urls.judged(pages(spark, rows), said, (), suffixes=rules).collect()
+    share = {r.host: r.reputation for r in got}
+    assert len(got) == 82
+    # A new host leans on its own domain, not on all of the shared suffix.
+    assert share["new.bad.github.io"] < 0.3 < 0.7 < share["new.good.github.io"]
+
+
+@pytest.mark.parametrize("salts", [1, 7])
+def test_salts_change_nothing(spark, salts):
+    rows = [(k, f"http://h{k % 50}.blogs.net/{k}") for k in range(300)]
+    said = labels(spark, [(k, int(k % 3 > 0), 0) for k in range(0, 300, 2)])
+    how = urls.Reputation(salts=salts)
+    got = {r.page_id: r for r in urls.judged(pages(spark, rows), said, (), how=how).collect()}
+    plain = urls.judged(pages(spark, rows), said, ()).collect()
+    assert len(got) == len(plain) == 300
+    for r in plain:
+        assert got[r.page_id].reputation == pytest.approx(r.reputation, abs=1e-12)
+
+
 def test_bad_hosts_are_blocked_and_shares_are_shrunk(spark):
     hosts = {"good.a.org": (60, 55), "bad.b.org": (60, 2), "new.b.org": (0, 0), "once.c.org": (1, 0), "fine.d.org": (40, 36)}
     rows, said, k = [], [], 0
