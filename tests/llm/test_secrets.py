@@ -13,6 +13,7 @@ import pyarrow as pa
 
 from holdfast.llm import charnet
 from holdfast.llm import secrets as S
+from holdfast.llm.sampling import picked
 
 ASSIGN = re.compile(
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -186,3 +187,64 @@ def test_keys_of_the_corpus_are_not_taught_as_harmless(spark, many):
             others += bool(spans)
     assert all(f >= 0.9 * n for f, n in zip(found, of_kind))
     assert others <= 0.01 * len(texts)
+
+
+def corpus(spark, changed=()):
+    """5000 short documents, more than the 4000 once sampled; `changed` ones are other texts."""
+    rows = []
+    for i in range(5000):
+        rng = random.Random(i + 5000 * (i in changed))
+        words = " ".join(rng.choice(["the", "plain", "short", "words", "of", "it"]) for _ in range(6))
+        key = f"token = {rng.getrandbits(90):x}Zq" if i % 2 else f"{words.replace(' ', '/')}"
+        rows.append((i, f"{words} {key} {words}" if i % 7 else None))
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_findings_of_all_documents_teach(spark):
+    how = S.Secrets(made=30, share=256)
+    df = corpus(spark).select("text")
+    views = {}
+    for part in S._taught(how)(pa.RecordBatch.from_pydict({"text": [r.text]}) for r in df.collect()):
+        for view, label in zip(*(c.to_pylist() for c in part.columns)):
+            views[view] = max(label, views.get(view, -1))
+    made, labels = S._generated(how)
+    views |= {r.astype(np.uint8).tobytes(): int(n) for r, n in zip(made, labels)}
+    assert sum(n == S.KEY for n in views.values()) > 2000
+    lessons = S.lessons(df, how)
+    assert {bytes(r.view): r.label for r in lessons.collect()} == views
+
+    # Every share, once; what is summed up over them is what one machine finds.
+    shares = S._shares(lessons, how.share)
+    packed = shares.toArrow().to_batches()
+    got = {r.astype(np.uint8).tobytes(): n for rows, labels, _ in S._each(packed) for r, n in zip(rows, labels)}
+    assert got == views and shares.count() > 10
+    net = charnet.train(made, labels.astype(float), 1)
+    aside = [(r[a & (n >= 0)], n[a & (n >= 0)]) for r, n, a in S._each(packed)]
+    rows, labels = (np.concatenate(x) for x in zip(*aside))
+    measured = S._measured(shares, net)
+    scale = S._scale(measured)
+    whole = charnet.calibrate(net, rows, labels.astype(float), 0.9)
+    assert scale == pytest.approx(whole.scale, rel=1e-4)
+    found = np.sort(charnet.likely(charnet.logits(net, rows), scale)[labels == S.KEY])
+    assert S._threshold(measured, scale, 0.9) == pytest.approx(found[charnet.rank(0.9, len(found))], rel=1e-9)
+
+
+def test_the_network_depends_on_every_document_but_not_on_partitions(spark):
+    """Other texts, in documents that a sample of 4000 by hash would leave out, teach as well."""
+    how = S.Secrets(made=30)
+    df, ids = corpus(spark), range(1, 5000, 2)
+    once = S.trained(df.repartition(3), how=how)
+    again = S.trained(df.repartition(11, "text"), how=how)
+    assert all((a == b).all() for a, b in zip(once.weights(), again.weights()))
+    assert (once.scale, once.threshold) == (again.scale, again.threshold)
+
+    def left_out(frame):
+        chosen = picked(frame.select("doc_id", "text"), 4000, "doc_id", "text", seed=11)
+        return {r.doc_id for r in frame.select("doc_id").collect()} - {
+            r.doc_id for r in chosen.collect()
+        }
+
+    changed = sorted(left_out(df) & left_out(corpus(spark, set(ids))) & set(ids))
+    assert len(changed) > 20
+    other = S.trained(corpus(spark, set(changed)), how=how)
+    assert any((a != b).any() for a, b in zip(once.weights(), other.weights()))
